@@ -28,3 +28,49 @@ def with_ordinal(df: DataFrame, groups: list[str], order: list[str], name: str)
     )
     joined = placed.join(offsets, [*groups, "_task"])
     return joined.withColumn(name, F.col("_row") + F.col("_shift")).drop("_task", "_row", "_shift")
+
+
+def with_running_totals(df: DataFrame, order: list, totals: dict[str, str],
+                        groups: list[str] | None = None) -> DataFrame:
+    """Add running sums (this row included) in ``order``, per group, or over the whole table without one.
+
+    ``totals`` maps a new column to the summed one; ``order`` must be unique in a group. The table is
+    range-sorted over tasks, each task sums its own stretch, and the stretches before it arrive as one
+    offset row per task and group at its ends. Every row also gets the group's grand total, ``all_<name>``.
+    """
+    groups = groups or []
+    keys = [*groups, *order]
+    placed = cut_lineage(
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_task", F.spark_partition_id())
+    )
+    sums = placed.groupBy(*groups, "_task").agg(*[F.sum(c).alias(f"_{n}") for n, c in totals.items()])
+    # One row per task and group; ordering them is bounded by the partitions, not by the data.
+    series = W.partitionBy(*groups).orderBy("_task")
+    earlier, whole = (
+        series.rowsBetween(W.unboundedPreceding, end) for end in (-1, W.unboundedFollowing)
+    )
+    offsets = sums.select(
+        *groups, "_task",
+        *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in totals],
+        *[F.sum(f"_{n}").over(whole).alias(f"all_{n}") for n in totals],
+    )
+    within = W.partitionBy(*groups, "_task").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    running = placed.withColumns({n: F.sum(c).over(within) for n, c in totals.items()})
+    joined = running.join(offsets, [*groups, "_task"])
+    return joined.withColumns({n: F.col(n) + F.col(f"_{n}") for n in totals}).drop(
+        "_task", *[f"_{n}" for n in totals]
+    )
+
+
+def exact_places(df: DataFrame, groups: list[str], value: str, places: dict) -> DataFrame:
+    """Per group, the values at 0-based sorted places; ``places`` maps a name to an expression of ``total``.
+
+    Values are counted first, so the running count of distinct values tells which one holds a place.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_count"))
+    running = with_running_totals(counted, [F.asc(value)], {"upto": "_count"}, groups)
+    running = running.withColumn("total", F.col("all_upto"))
+    held = {n: F.min(F.when(place < F.col("upto"), F.col(value))) for n, place in places.items()}
+    return running.groupBy(*groups).agg(
+        *[v.alias(n) for n, v in held.items()], F.max(value).alias("max"), F.max("total").alias("total")
+    )

@@ -129,3 +129,39 @@ def subscribers(spark: SparkSession, folder: str) -> DataFrame:
         F.col("r_regionkey").cast("bigint").alias("client_id"),
         (F.col("r_regionkey") / F.lit(5.0)).cast("float").alias("min_prob"),
     )
+
+
+def _bytes(value, n: int):
+    return F.lpad(F.hex(value), 2 * n, "0")
+
+
+def frames(spark: SparkSession, folder: str) -> DataFrame:
+    """The packet view as captured frames, alternating Ethernet and Linux cooked headers, with ARP frames
+    and cut-off frames in between that a decoder has to drop."""
+    c, zero = F.col, F.lit("0000")
+    ethernet = c("pkt_no") % 4 < 2
+    ip = F.concat(
+        F.lit("4500"), _bytes(c("ip_total_len"), 2), F.lit("00000000"), _bytes(c("ttl"), 1),
+        _bytes(c("proto"), 1), zero, _bytes(c("src_ip"), 4), _bytes(c("dst_ip"), 4),
+    )
+    ports = F.concat(_bytes(c("src_port"), 2), _bytes(c("dst_port"), 2))
+    tcp = F.concat(
+        ports, _bytes(c("tcp_seq"), 4), F.lit("00000000"), F.lit("50"), _bytes(c("tcp_flags"), 1),
+        _bytes(c("tcp_window"), 2), F.lit("00000000"),
+    )
+    udp = F.concat(ports, F.lit("0008"), zero)
+    l4 = F.when(c("proto") == 6, tcp).when(c("proto") == 17, udp).otherwise(F.lit("0800000000000000"))
+    link = F.when(ethernet, F.lit("00" * 12)).otherwise(F.lit("00" * 14))
+    shapes = F.array(
+        F.struct(F.lit(0).alias("kind"), F.concat(link, F.lit("0800"), ip, l4).alias("hex")),
+        F.struct(F.lit(1).alias("kind"), F.concat(link, F.lit("0806"), ip, l4).alias("hex")),
+        F.struct(F.lit(2).alias("kind"), F.concat(link, F.lit("0800"), F.substring(ip, 1, 30)).alias("hex")),
+    )
+    shaped = packets(spark, folder).select(
+        "capture_id", "pkt_no", "ts_us", F.when(ethernet, 1).otherwise(113).alias("linktype"),
+        F.explode(shapes).alias("shape"),
+    ).filter((c("shape.kind") == 0) | (c("pkt_no") % 7 == c("shape.kind")))
+    data = F.unhex("shape.hex")
+    return shaped.select(
+        "capture_id", "pkt_no", "ts_us", "linktype", F.length(data).alias("caplen"), data.alias("data")
+    )
