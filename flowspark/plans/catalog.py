@@ -1,4 +1,10 @@
 """All registered queries. Importing a module of queries registers them."""
 
-from flowspark.plans import packet_queries  # noqa: F401
+from flowspark.plans import (  # noqa: F401
+    alert_queries,
+    evaluation_queries,
+    offline_queries,
+    operation_queries,
+    packet_queries,
+)
 from flowspark.plans.registry import CHECKS, QUERIES  # noqa: F401

@@ -108,7 +108,7 @@ def packets(spark: SparkSession, folder: str) -> DataFrame:
 
 def detections(spark: SparkSession, folder: str) -> DataFrame:
     micros = (
-        "unix_date(cast(ts as date)) * 86400000000 + (hour(ts) * 3600 + minute(ts) * 60) * 1000000 "
+        "unix_date(cast(ts as date)) * 86400000000 + (hour(ts) * 3600 + minute(ts) * 60) * 1000000L "
         "+ cast(extract(second from ts) * 1000000 as bigint)"
     )
     text = DETECTIONS_SQL.replace("{micros}", micros)
