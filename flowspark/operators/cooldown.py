@@ -71,9 +71,9 @@ def with_cooldown(df: DataFrame, keys: list[str], ts: str, order: list[str], ttl
 
     hashed = df.withColumn("_key_hash", F.xxhash64(*keys))
     cold, hot = (hashed, None) if hot_rows is None else split_hot_keys(hashed, "_key_hash", hot_rows)
-    schema = T.StructType([*hashed.schema.fields, T.StructField(name, T.BooleanType())])
+    schema = T.StructType([*cold.schema.fields, T.StructField(name, T.BooleanType())])
     ordered = cold.repartition("_key_hash").sortWithinPartitions("_key_hash", *keys, ts, *order)
     out = ordered.mapInArrow(lambda batches: _flag_partition(batches, keys, ts, ttl, name), schema)
     if hot is not None:
         out = out.unionByName(cooldown_hot(hot, keys, ts, order, ttl, name, hot_rows))
-    return out.drop("_key_hash")
+    return out.select(*df.columns, name)
