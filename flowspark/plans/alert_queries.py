@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from flowspark.contracts import MODEL_COLUMNS, NUMERIC_FEATURES, TOP_VALUES, one_hot_categories
 from flowspark.functions.encode import encode_columns, encode_flows, feature_vector, quoted, to_contract
 from flowspark.operators import alerts as A
+from flowspark.operators.cooldown import with_cooldown
 from flowspark.plans.inputs import EVENT_TTL_US, flagged_detections, flows, scored_detections
 from flowspark.plans.oracle import DETECTIONS, over_flows
 from flowspark.plans.registry import query
@@ -133,12 +134,24 @@ def alert_dedup_60s(spark, folder):
     return A.flag_alerts(scored_detections(spark, folder), order=["event_id"])
 
 
-@query("event_id bigint, label int, alert boolean", over_flagged("select event_id, label, alert from flagged"))
-def alert_dedup_hot_keys(spark, folder):
-    """The same flags with every key above 200 rows spread over several tasks."""
-    return A.flag_alerts(
-        scored_detections(spark, folder), order=["event_id"], ttl_us=EVENT_TTL_US, hot_rows=200
-    )
+_BY_TYPE = f"""with recursive
+a as materialized (
+  select *, row_number() over (partition by dstip order by ts_us, event_id) rn from ({SCORED}) s where label = 1),
+f as (
+  select event_id, dstip, rn, ts_us last_us, true fires from a where rn = 1
+  union all
+  select a.event_id, a.dstip, a.rn, case when a.ts_us >= f.last_us + 600000000 then a.ts_us else f.last_us end,
+    a.ts_us >= f.last_us + 600000000
+  from f join a on a.dstip = f.dstip and a.rn = f.rn + 1)
+select event_id, dstip, fires from f"""
+
+
+@query("event_id bigint, dstip string, fires boolean", _BY_TYPE)
+def cooldown_of_hot_keys(spark, folder):
+    """Ten minutes of silence per event type: a handful of keys hold everything and are each split."""
+    attacks = scored_detections(spark, folder).filter(F.col("label") == 1)
+    return with_cooldown(attacks, ["dstip"], "ts_us", ["event_id"], 600_000_000, "fires",
+                         hot_rows=max(attacks.count() // 16, 1))
 
 
 @query("scored bigint, attacks bigint, fired bigint, suppressed bigint", over_flagged("""

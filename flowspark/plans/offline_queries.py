@@ -68,12 +68,23 @@ def one_hot_fit(spark, folder):
     return df.limit(1).select(F.explode(F.array(*pairs)).alias("e")).select("e.*")
 
 
-@query(f"id bigint, {ONE_HOT_NAMES}", f"select id, {ONE_HOT_SQL} from ({LABELLED}) l where spkts > 25")
+def served(spark, folder):
+    """The table as a later one: unknown protocols, other sizes."""
+    df = views.labelled(spark, folder)
+    return df.withColumns({
+        "proto": F.when(F.col("service") == "O", F.col("proto")).otherwise("Z"), "sload": F.col("sload") * 2,
+    })
+
+
+SERVED = f"""select * replace (case when service = 'O' then proto else 'Z' end as proto, sload * 2 as sload)
+from ({LABELLED}) l0"""
+
+
+@query(f"id bigint, {ONE_HOT_NAMES}", f"select id, {ONE_HOT_SQL} from ({SERVED}) l")
 def one_hot_apply(spark, folder):
-    """Categories fitted on one part of the table, applied to the other."""
-    df = prep.add_buckets(views.labelled(spark, folder), TOP)
-    fitted = prep.fit_categories(df.filter("spkts <= 25"), PREFIXES)
-    return prep.apply_one_hot(df.filter("spkts > 25"), fitted)
+    """Categories fitted on one table, applied to another."""
+    fitted = prep.fit_categories(prep.add_buckets(views.labelled(spark, folder), TOP), PREFIXES)
+    return prep.apply_one_hot(prep.add_buckets(served(spark, folder), TOP), fitted)
 
 
 @query("id bigint, sload_log double6, rate_log double6",
@@ -107,20 +118,18 @@ def _stats(columns, source):
 
 
 _TRAIN = f"""with kept as (
-  select min(id) id, proto, service, state, sload, rate, dur, smean, spkts, label from ({LABELLED}) l
-  where id % 3 > 0 group by all),
+  select min(id) id, proto, service, state, sload, rate, dur, smean, spkts, label from ({LABELLED}) l group by all),
 logged as (select *, ln(1 + sload) sload_log, ln(1 + rate) rate_log, ln(1 + spkts) spkts_log from kept),
 fitted as ({_stats(_SCALED_COLUMNS, "logged")}),
 testing as (
-  select min(id) id, proto, service, state, sload, rate, dur, smean, spkts, label from ({LABELLED}) l
-  where id % 3 = 0 group by all),
+  select min(id) id, proto, service, state, sload, rate, dur, smean, spkts, label from ({SERVED}) l group by all),
 test_logged as (select *, ln(1 + sload) sload_log, ln(1 + rate) rate_log, ln(1 + spkts) spkts_log from testing)"""
 _MODEL_NAMES = ONE_HOT_NAMES + ", " + ", ".join(f"{c}_scaled double6" for c in _SCALED_COLUMNS) + ", label int"
 _MODEL_SQL = f"select {ONE_HOT_SQL}, " + ", ".join(_z(c, "") for c in _SCALED_COLUMNS) + ", label from {0}, fitted"
 
 
 def _trained(spark, folder):
-    return prep.preprocess_train(views.labelled(spark, folder).filter("id % 3 > 0"), top=TOP)
+    return prep.preprocess_train(views.labelled(spark, folder), top=TOP)
 
 
 @query(_MODEL_NAMES, _TRAIN + " " + _MODEL_SQL.format("logged"))
@@ -143,12 +152,12 @@ def preprocess_train_full(spark, folder):
 @query(_MODEL_NAMES, _TRAIN + " " + _MODEL_SQL.format("test_logged"))
 def preprocess_test_model(spark, folder):
     artifacts = _trained(spark, folder)[3]
-    return prep.preprocess_test(views.labelled(spark, folder).filter("id % 3 = 0"), artifacts)[1]
+    return prep.preprocess_test(served(spark, folder), artifacts)[1]
 
 
 @query("width int, label double, n bigint", f"""
 select {len(ONE_HOT) + 5} width, cast(label as double) as "label", count(*) n from (
-  select min(id), label from ({LABELLED}) l where id % 3 > 0
+  select min(id), label from ({LABELLED}) l
   group by proto, service, state, sload, rate, dur, smean, spkts, label) k group by 2""")
 def features_label_split(spark, folder):
     from pyspark.ml.functions import vector_to_array

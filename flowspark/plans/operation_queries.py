@@ -69,15 +69,15 @@ def latency_quantiles(spark, folder):
 @query("group_id string, lag bigint", """
 with latest as (select event_type topic, user_id % 8 part, max(event_id) last from events group by all),
 done as (select 'g' || cast(user_id % 3 as varchar) group_id, event_type topic, user_id % 8 part, max(event_id) last
-         from events where event_id % 5 = 0 group by all)
+         from events where value < 60 group by all)
 select group_id, sum(greatest(latest.last - done.last, 0)) lag from done join latest using (topic, part) group by 1""")
 def consumer_lag(spark, folder):
     events = views.read_table(spark, folder, "events").select(
-        F.col("event_type").alias("topic"), (F.col("user_id") % 8).alias("partition"), "event_id",
+        F.col("event_type").alias("topic"), (F.col("user_id") % 8).alias("partition"), "event_id", "value",
         F.concat(F.lit("g"), (F.col("user_id") % 3).cast("string")).alias("group_id"),
     )
     latest = events.groupBy("topic", "partition").agg(F.max("event_id").alias("latest_offset"))
-    committed = events.filter("event_id % 5 = 0").groupBy("group_id", "topic", "partition").agg(
+    committed = events.filter("value < 60").groupBy("group_id", "topic", "partition").agg(
         F.max("event_id").alias("offset")
     )
     return O.consumer_lag(latest, committed)
