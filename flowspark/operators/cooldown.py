@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowspark.session import ship_package
+
 DEFAULT_HOT_ROWS = 4_000_000
 
 
@@ -69,6 +71,7 @@ def with_cooldown(df: DataFrame, keys: list[str], ts: str, order: list[str], ttl
     """
     from flowspark.operators.hot_cooldown import cooldown_hot, split_hot_keys
 
+    ship_package(df.sparkSession)
     hashed = df.withColumn("_key_hash", F.xxhash64(*keys))
     cold, hot = (hashed, None) if hot_rows is None else split_hot_keys(hashed, "_key_hash", hot_rows)
     schema = T.StructType([*cold.schema.fields, T.StructField(name, T.BooleanType())])

@@ -19,6 +19,7 @@ from flowspark.contracts import (
 )
 from flowspark.functions.net import canonical_key
 from flowspark.operators.ordinal import with_ordinal
+from flowspark.session import ship_package
 
 ACCEPTED, DUPLICATE, STRAGGLER = 0, 1, 2
 FRESH, OPEN, CLOSED = 0, 1, 2
@@ -173,6 +174,7 @@ def segment_packets(packets: DataFrame, idle: str = "gap", idle_us: int = IDLE_T
     """
     from flowspark.operators.hot_segments import label_hot, split_hot
 
+    ship_package(packets.sparkSession)
     keyed = keyed_packets(with_clock(packets, idle)).select(
         "key_hash", *dict.fromkeys([*CARRIED_COLUMNS, *WALK_COLUMNS])
     )

@@ -7,5 +7,6 @@ from flowspark.plans import (  # noqa: F401
     offline_queries,
     operation_queries,
     packet_queries,
+    stream_queries,
 )
 from flowspark.plans.registry import CHECKS, QUERIES  # noqa: F401

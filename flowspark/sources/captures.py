@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from flowspark.contracts import FRAME_SCHEMA
 from flowspark.functions.binary import LINK_HEADER_BYTES, decode_frames
+from flowspark.session import ship_package
 
 # File magics (with byte order and seconds fraction) and block types.
 PCAP_MAGICS = {
@@ -35,18 +36,25 @@ SPLIT_BYTES = 256 << 20
 BATCH_FRAMES, READ_BYTES = 20_000, 4 << 20
 
 
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and inner path of a URI or a plain local path."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path.removeprefix("file:")
+
+
 def _open(path: str) -> BinaryIO:
-    filesystem, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    filesystem, inner = _place(path)
     return filesystem.open_input_file(inner)
 
 
 def list_captures(path: str) -> list[tuple[str, int]]:
     """(path, bytes) of the capture files in a folder, or of the one file named."""
-    filesystem, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    filesystem, inner = _place(path)
     info = filesystem.get_file_info(inner)
     if info.type == fs.FileType.File:
         return [(path, info.size)]
-    prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
+    prefix = path[: len(path) - len(inner)] if "://" in path and path.endswith(inner) else ""
     found = filesystem.get_file_info(fs.FileSelector(inner, recursive=True))
     return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File)
 
@@ -225,6 +233,7 @@ def split_points(spark: SparkSession, files: list[tuple[str, int]], split_bytes:
              for b in range(FILE_HEADER, size, split_bytes)]
     if not large:
         return whole
+    ship_package(spark)
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -269,6 +278,7 @@ def split_points(spark: SparkSession, files: list[tuple[str, int]], split_bytes:
 
 def read_frames(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """All frames of a folder of captures; ``capture_id`` is the file's name."""
+    ship_package(spark)
     spark.dataSource.register(CaptureSource)
     ranges = split_points(spark, list_captures(path), split_bytes)
     return spark.read.format("packet_capture").option("ranges", json.dumps(ranges)).load(path)
@@ -288,6 +298,7 @@ def capture_rejects(spark: SparkSession, path: str) -> DataFrame:
                     problems.append(file_problem(source.read(FILE_HEADER)))
             yield pd.DataFrame({"path": pdf["path"], "problem": problems})
 
+    ship_package(spark)
     files = spark.createDataFrame([(p,) for p, _ in list_captures(path)] or [("",)], "path string")
     return files.filter("path <> ''").mapInPandas(probe, "path string, problem string").filter(
         F.col("problem").isNotNull()

@@ -15,6 +15,7 @@ from flowspark.contracts import (
 from flowspark.functions.net import canonical_key
 from flowspark.operators.alerts import ALERT_KEY
 from flowspark.operators.segments import ACCEPTED, WALK_COLUMNS, Slot, walk
+from flowspark.session import ship_package
 
 STATE_SCHEMA = "state binary"
 PACKET_FIELDS = [*WALK_COLUMNS, "ttl", "tcp_window", "pkt_no"]
@@ -70,15 +71,19 @@ def stream_flow_aggregates(packets: DataFrame, delay: str = "10 seconds",
     order within ``delay`` does not matter. A flow comes out when it closes or has been idle for
     ``idle_us``; packets behind the watermark are dropped by Spark and show in its progress.
     """
-    timed = packets.withColumns(canonical_key()).withColumns({
-        "now_us": F.col("ts_us"), "ts": F.timestamp_micros("ts_us"),
-    }).withWatermark("ts", delay)
+    ship_package(packets.sparkSession)
+    numbers = [F.col(c).cast("bigint") for c in PACKET_FIELDS]
+    timed = packets.withColumns(canonical_key()).withColumn("now_us", F.col("ts_us")).select(
+        # Few columns per group: each costs a conversion for every 5-tuple of a batch.
+        F.concat_ws("|", *KEY_COLUMNS[1:], KEY_COLUMNS[0]).alias("flow_key"),
+        F.array(*numbers).alias("packet"), F.timestamp_micros("ts_us").alias("ts"),
+    ).withWatermark("ts", delay)
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         slot, flow, waiting = pickle.loads(state.get[0]) if state.exists else (Slot(), None, [])
         if not state.hasTimedOut:
             for pdf in frames:
-                waiting.extend(zip(*[pdf[c].tolist() for c in PACKET_FIELDS]))
+                waiting.extend(tuple(p.tolist()) for p in pdf["packet"])
         limit = state.getCurrentWatermarkMs() * 1000
         waiting.sort(key=lambda r: (r[0], r[-1]))
         cut = sum(1 for r in waiting if r[0] < limit)
@@ -108,11 +113,13 @@ def stream_flow_aggregates(packets: DataFrame, delay: str = "10 seconds",
         elif state.exists:
             # The sequence number must outlive the flow only while packets of the 5-tuple may still come.
             state.remove()
-        names = dict(zip(KEY_COLUMNS, key))
+        if not done:
+            return
+        *numbers, capture = key[0].split("|", len(KEY_COLUMNS) - 1)
+        names = {"capture_id": capture, **dict(zip(KEY_COLUMNS[1:], map(int, numbers)))}
         yield pd.DataFrame([{**names, **f} for f in done], columns=AGGREGATE_COLUMNS, dtype=object)
 
-    grouped = timed.select(*KEY_COLUMNS, *[c for c in PACKET_FIELDS if c != "proto"], "ts").groupBy(*KEY_COLUMNS)
-    return grouped.applyInPandasWithState(
+    return timed.groupBy("flow_key").applyInPandasWithState(
         advance, AGGREGATE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
     )
 
@@ -123,6 +130,7 @@ def stream_history(flows: DataFrame, order: str = "emit_us") -> DataFrame:
     The ring is one small state per capture, so captures run side by side but a capture's flows follow
     each other, as the definition has it.
     """
+    ship_package(flows.sparkSession)
     needed = ["srcip", "dstip", "sport", "dsport", "service"]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flows.schema)
 
@@ -173,9 +181,12 @@ def stream_alerts(scored: DataFrame, delay: str = "10 seconds", ttl_us: int = AL
             state.setTimeoutTimestamp(max(due // 1000 + 1, limit // 1000 + 1))
         elif state.exists:
             state.remove()
+        if not ready:
+            return
         names = dict(zip(ALERT_KEY, key))
         yield pd.DataFrame([{**names, **r} for r in ready], columns=[*columns, "alert"], dtype=object)
 
+    ship_package(scored.sparkSession)
     timed = scored.withColumn("_ts", F.timestamp_micros("ts_us")).withWatermark("_ts", delay)
     return timed.groupBy(*ALERT_KEY).applyInPandasWithState(
         advance, f"{fields}, alert boolean", STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
