@@ -11,9 +11,12 @@ from flowspark.functions.net import (
 )
 from flowspark.operators.history import add_history
 from flowspark.operators.ordinal import with_ordinal
-from flowspark.operators.segments import ACCEPTED, DEFAULT_HOT_ROWS, segment_packets
+from flowspark.operators.segments import (
+    ACCEPTED, DEFAULT_HOT_ROWS, LARGEST, SMALLEST, SUMS, UNIONS, partial_flows,
+)
 
 OPEN_AT_END_US = 1 << 62
+ORDER_COLUMNS = ["emit_us", "stime_us", "ip_a", "port_a", "ip_b", "port_b", "proto", "flow_seq"]
 
 
 def flow_aggregates(labelled: DataFrame) -> DataFrame:
@@ -58,6 +61,16 @@ def flow_aggregates(labelled: DataFrame) -> DataFrame:
     )
 
 
+def merged_flows(partial: DataFrame) -> DataFrame:
+    """The columns of ``flow_aggregates`` out of partly combined flows, one small row per flow and batch."""
+    merges = {F.sum: SUMS, F.bit_or: UNIONS, F.max: LARGEST, F.min: SMALLEST}
+    kept = partial.groupBy(*KEY_COLUMNS, "flow_seq").agg(
+        *[merge(c).alias(c) for merge, columns in merges.items() for c in columns]
+    )
+    narrow = {c: F.col(c).cast("int") for c in [*UNIONS, "sttl", "swin", "dttl", "dwin"]}
+    return kept.withColumns({**narrow, "src_is_a": F.col("src_is_a") == 1})
+
+
 def flow_measures(aggregates: DataFrame, idle: str = "gap", idle_us: int = IDLE_TIMEOUT_US) -> DataFrame:
     """Endpoints, labels and guarded ratios of every flow, plus the time it is emitted."""
     c = F.col
@@ -96,8 +109,7 @@ def flow_measures(aggregates: DataFrame, idle: str = "gap", idle_us: int = IDLE_
 
 def emission_order(measures: DataFrame) -> DataFrame:
     """``emit_no``: place of the flow among its capture's flows, in the order they end."""
-    order = ["emit_us", "stime_us", "ip_a", "port_a", "ip_b", "port_b", "proto", "flow_seq"]
-    return with_ordinal(measures, ["capture_id"], order, "emit_no")
+    return with_ordinal(measures, ["capture_id"], ORDER_COLUMNS, "emit_no")
 
 
 def flow_records(numbered: DataFrame, payload: DataFrame | None = None) -> DataFrame:
@@ -122,6 +134,7 @@ def flow_records(numbered: DataFrame, payload: DataFrame | None = None) -> DataF
 def packets_to_flows(packets: DataFrame, idle: str = "gap", idle_us: int = IDLE_TIMEOUT_US,
                      hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
     """Captured packets to finished flow records, all captures of the table in one job."""
-    labelled = segment_packets(packets, idle, idle_us, hot_rows)
-    measures = flow_measures(flow_aggregates(labelled), idle, idle_us)
-    return flow_records(emission_order(measures))
+    aggregates = merged_flows(partial_flows(packets, idle, idle_us, hot_rows))
+    measures = flow_measures(aggregates, idle, idle_us)
+    spent = {*aggregates.columns} - {*FLOW_COLUMNS, *LINEAGE_COLUMNS, *ORDER_COLUMNS}
+    return flow_records(emission_order(measures.drop(*spent)))

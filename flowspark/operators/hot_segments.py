@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.contracts import DUPLICATE_WINDOW_US, KEY_COLUMNS
+from flowspark.contracts import DUPLICATE_WINDOW_US
 from flowspark.operators import hot_cooldown as H
 from flowspark.operators import segments as S
 
@@ -78,8 +78,8 @@ def carry(entry: S.Slot, guess: S.Slot, left: S.Slot) -> S.Slot:
 
 def _same_packet(batch: pa.RecordBatch, before: tuple | None) -> tuple[bool, tuple]:
     """Whether the batch only repeats one packet with less than the duplicate window in between."""
-    columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in
-               ("from_a", "tcp_seq", "ip_total_len", "tcp_flags")]
+    fields = S.packet_fields(batch)
+    columns = [fields[c] for c in ("from_a", "tcp_seq", "ip_total_len", "tcp_flags")]
     ts = batch.column("ts_us").to_numpy()
     same = all((c == c[0]).all() for c in columns) and (np.diff(ts) < DUPLICATE_WINDOW_US).all()
     first, last = tuple(c[0] for c in columns), tuple(c[-1] for c in columns)
@@ -98,7 +98,7 @@ def _leave_states(batches: Iterator[pa.RecordBatch], guesses: dict[int, S.Slot],
         starts, last_key = S.key_starts(batch, previous)
         if number is None:
             number, first_key = batch.column("_stretch")[0].as_py(), tuple(
-                batch.column(c)[0].as_py() for c in KEY_COLUMNS
+                batch.column(c)[0].as_py() for c in S.TASK_KEYS
             )
             starts = starts[1:]
             slot = pickle.loads(pickle.dumps(guesses.get(number) or first_guess()))
@@ -109,7 +109,7 @@ def _leave_states(batches: Iterator[pa.RecordBatch], guesses: dict[int, S.Slot],
             batch = batch.slice(starts[-1])
         same, tail = _same_packet(batch, tail)
         unbroken = unbroken and same
-        for _ in S.walk(slot, S.walk_rows(batch), idle_us):
+        for _ in S.walk(slot, S.walk_rows(batch, S.packet_fields(batch)), idle_us):
             pass
         previous = last_key
     if number is None:
@@ -188,8 +188,8 @@ def entry_states(placed: DataFrame, idle_us: int) -> tuple[dict[int, S.Slot | No
         rounds, walks = rounds + 1, walks + len(wrong)
 
 
-def label_hot(hot: DataFrame, idle_us: int, hot_rows: int) -> DataFrame:
-    placed = H.stretches(hot, ["key_hash", *KEY_COLUMNS, "ts_us", "pkt_no"], hot_rows)
+def label_hot(hot: DataFrame, idle_us: int, hot_rows: int, finish, schema) -> DataFrame:
+    placed = H.stretches(hot, S.SORT_KEYS, hot_rows)
     entries, _ = entry_states(placed, idle_us)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,7 @@ def label_hot(hot: DataFrame, idle_us: int, hot_rows: int) -> DataFrame:
             return
         entry, previous = entries[first.column("_stretch")[0].as_py()], None
         if entry is not None:
-            previous = tuple(first.column(c)[0].as_py() for c in KEY_COLUMNS)
-        yield from S.label_partition(H._chained(first, batches), idle_us, entry, previous)
+            previous = tuple(first.column(c)[0].as_py() for c in S.TASK_KEYS)
+        yield from S.label_partition(H._chained(first, batches), idle_us, finish, entry, previous)
 
-    return placed.mapInArrow(label, S.output_schema(placed))
+    return placed.mapInArrow(label, schema)

@@ -8,9 +8,10 @@ several tasks (see :mod:`flowspark.operators.hot_segments`), so no task holds a
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,7 @@ from flowspark.contracts import (
     ACK, DUPLICATE_WINDOW_US, FIN, IDLE_TIMEOUT_US, KEY_COLUMNS, RST, SWEEP_EVERY_PACKETS, SYN, TCP,
 )
 from flowspark.functions.net import canonical_key
+from flowspark.operators.cooldown import run_starts
 from flowspark.operators.ordinal import with_ordinal
 from flowspark.session import ship_package
 
@@ -25,6 +27,12 @@ ACCEPTED, DUPLICATE, STRAGGLER = 0, 1, 2
 FRESH, OPEN, CLOSED = 0, 1, 2
 DEFAULT_HOT_ROWS = 4_000_000
 
+# A packet crosses to Python as a few integers, because every column costs a conversion per row. Field
+# widths are those of the IPv4 and TCP headers.
+TASK_KEYS = ["capture_id", "end_a", "end_b"]
+SORT_KEYS = ["key_hash", *TASK_KEYS, "ts_us", "pkt_no"]
+HEAD_FIELDS = {"from_a": (0, 1), "tcp_flags": (8, 8), "ttl": (16, 8), "tcp_window": (24, 16)}
+BODY_FIELDS = {"payload_len": (0, 16), "ip_total_len": (16, 16), "tcp_seq": (32, 32)}
 WALK_COLUMNS = ["ts_us", "now_us", "from_a", "tcp_flags", "tcp_seq", "ip_total_len", "payload_len", "proto"]
 CARRIED_COLUMNS = [*KEY_COLUMNS, "ts_us", "pkt_no", "from_a", "tcp_flags", "ip_total_len", "ttl", "tcp_window"]
 LABEL_TYPES = {
@@ -39,6 +47,14 @@ _LABEL_FIELDS = [
 ]
 
 
+# How rows of one flow are merged, by measure.
+SUMS = [f"{p}{m}" for p in "sd" for m in ("pkts", "bytes", "loss", "_gap_sum", "_gaps", "_jit_sum", "_jits")]
+UNIONS = ["s_flags", "d_flags"]
+LARGEST = ["sttl", "swin", "dttl", "dwin", "src_is_a", "ltime_us", "close_us"]
+SMALLEST = ["stime_us", "syn_us", "synack_us", "ack_us"]
+PARTIAL_MEASURES = [*SUMS, *UNIONS, *LARGEST, *SMALLEST]
+
+
 class Slot:
     """What one 5-tuple remembers between packets. Sides are endpoint a (True) and endpoint b (False)."""
 
@@ -99,59 +115,91 @@ def walk(slot: Slot, rows, idle_us: int) -> Iterator[tuple]:
 
 def key_starts(batch: pa.RecordBatch, previous: tuple | None) -> tuple[list[int], tuple]:
     """Row numbers where the 5-tuple differs from the row before, and the batch's last 5-tuple."""
-    n = batch.num_rows
-    columns = [batch.column(c) for c in KEY_COLUMNS]
-    starts = []
-    if previous is None or tuple(c[0].as_py() for c in columns) != previous:
-        starts.append(0)
-    if n > 1:
-        differs = None
-        for c in columns:
-            d = pc.not_equal(c.slice(1), c.slice(0, n - 1))
-            differs = d if differs is None else pc.or_(differs, d)
-        starts += [i + 1 for i in pc.indices_nonzero(differs).to_pylist()]
-    return starts, tuple(c[n - 1].as_py() for c in columns)
+    return run_starts(batch, TASK_KEYS, previous)
 
 
-def walk_rows(batch: pa.RecordBatch) -> list[tuple]:
-    return list(zip(*[batch.column(c).to_pylist() for c in WALK_COLUMNS]))
+def packet_fields(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The packed integers of a batch as header fields."""
+    column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+    out = {"ts_us": column("ts_us"), "proto": column("end_a") >> 48}
+    for packed, fields in (("head", HEAD_FIELDS), ("body", BODY_FIELDS)):
+        values = column(packed)
+        out.update({f: (values >> shift) & ((1 << width) - 1) for f, (shift, width) in fields.items()})
+    return out
 
 
-def labelled_batch(batch: pa.RecordBatch, labels: list[tuple]) -> pa.RecordBatch:
-    added = [pa.array(values, type=t) for values, t in zip(zip(*labels), LABEL_TYPES.values())]
-    kept = [batch.column(c) for c in CARRIED_COLUMNS]
-    return pa.RecordBatch.from_arrays([*kept, *added], names=[*CARRIED_COLUMNS, *LABEL_TYPES])
+def walk_rows(batch: pa.RecordBatch, fields: dict[str, np.ndarray]) -> list[tuple]:
+    values = {c: v.tolist() for c, v in fields.items()}
+    policy = "now_us" in batch.schema.names
+    values["now_us"] = batch.column("now_us").to_pylist() if policy else values["ts_us"]
+    return list(zip(*[values[c] for c in WALK_COLUMNS]))
 
 
-def label_partition(batches: Iterator[pa.RecordBatch], idle_us: int, slot: Slot | None = None,
+def label_partition(batches: Iterator[pa.RecordBatch], idle_us: int, finish, slot: Slot | None = None,
                     previous: tuple | None = None) -> Iterator[pa.RecordBatch]:
-    """Label a sorted partition; ``slot`` and ``previous`` continue a 5-tuple begun in another one."""
+    """Walk a sorted partition and turn each batch, its fields and its labels into a result batch.
+
+    ``slot`` and ``previous`` continue a 5-tuple begun in another task.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
         starts, previous = key_starts(batch, previous)
-        rows, labels, at = walk_rows(batch), [], 0
+        fields = packet_fields(batch)
+        rows, labels, at = walk_rows(batch, fields), [], 0
         for start in [*starts, batch.num_rows]:
             if start > at:
                 labels.extend(walk(slot, rows[at:start], idle_us))
             slot, at = (Slot() if start < batch.num_rows else slot), start
-        yield labelled_batch(batch, labels)
+        columns = [pa.array(values, type=t) for values, t in zip(zip(*labels), LABEL_TYPES.values())]
+        yield finish(batch, fields, dict(zip(LABEL_TYPES, columns)))
+
+
+def packed(fields: dict[str, tuple[int, int]]) -> Column:
+    out = F.lit(0).cast("bigint")
+    for name, (shift, _) in fields.items():
+        out = out.bitwiseOR(F.shiftleft(F.col(name).cast("int").cast("bigint") if name == "from_a"
+                                        else F.col(name).cast("bigint"), shift))
+    return out
+
+
+def unpacked(source: str, fields: dict[str, tuple[int, int]]) -> dict[str, Column]:
+    return {
+        name: F.shiftrightunsigned(source, shift).bitwiseAND((1 << width) - 1)
+        for name, (shift, width) in fields.items()
+    }
+
+
+def unpacked_key() -> dict[str, Column]:
+    part = lambda c, shift, width: F.shiftright(c, shift).bitwiseAND((1 << width) - 1)
+    return {
+        "ip_a": part("end_a", 16, 32), "port_a": part("end_a", 0, 16).cast("int"),
+        "ip_b": part("end_b", 16, 32), "port_b": part("end_b", 0, 16).cast("int"),
+        "proto": part("end_a", 48, 8).cast("int"),
+    }
 
 
 def keyed_packets(packets: DataFrame) -> DataFrame:
-    """Packets with the canonical 5-tuple and ``key_hash``, which only speeds up grouping and sorting."""
+    """Packets packed for the walk: 5-tuple, order, two integers of header fields, and ``now_us`` if the
+    idle policy needs one. ``key_hash`` only speeds up grouping and sorting."""
+    end = lambda ip, port: F.shiftleft(F.col(ip), 16).bitwiseOR(F.col(port).cast("bigint"))
     keyed = packets.withColumns(canonical_key())
-    return keyed.withColumn("key_hash", F.xxhash64(*KEY_COLUMNS))
+    keyed = keyed.withColumns({
+        "end_a": end("ip_a", "port_a").bitwiseOR(F.shiftleft(F.col("proto").cast("bigint"), 48)),
+        "end_b": end("ip_b", "port_b"), "head": packed(HEAD_FIELDS), "body": packed(BODY_FIELDS),
+    })
+    clock = [c for c in ("now_us",) if c in packets.columns]
+    return keyed.withColumn("key_hash", F.xxhash64(*TASK_KEYS)).select(*SORT_KEYS, "head", "body", *clock)
 
 
 def with_clock(packets: DataFrame, idle: str) -> DataFrame:
     """Add ``now_us``, the time a slot's idleness is judged against.
 
-    ``gap``: the packet's own time. ``none``: never. ``sweep``: the newest time seen at the last sweep,
+    ``gap``: the packet's own time, so nothing is added. ``none``: never. ``sweep``: the newest time seen at the last sweep,
     one per 500,000 packets of a capture.
     """
     if idle == "gap":
-        return packets.withColumn("now_us", F.col("ts_us"))
+        return packets
     if idle == "none":
         return packets.withColumn("now_us", F.lit(None).cast("bigint"))
     if idle != "sweep":
@@ -164,6 +212,23 @@ def with_clock(packets: DataFrame, idle: str) -> DataFrame:
     return numbered.join(sweeps, ["capture_id", "sweep_no"], "left").drop("nth", "sweep_no")
 
 
+def _walked(packets: DataFrame, idle: str, idle_us: int, hot_rows: int | None, finish, needed: list[str],
+            added: list[T.StructField]) -> DataFrame:
+    """Run the walk; ``finish`` makes the rows that leave a task: the ``needed`` columns and ``added`` ones."""
+    from flowspark.operators.hot_segments import label_hot, split_hot
+
+    ship_package(packets.sparkSession)
+    keyed = keyed_packets(with_clock(packets, idle))
+    cold, hot = (keyed, None) if hot_rows is None else split_hot(keyed, hot_rows)
+    schema = T.StructType([*[keyed.schema[c] for c in needed], *added])
+    ordered = cold.repartition("key_hash").sortWithinPartitions(*SORT_KEYS)
+    passed = [c for c in keyed.columns if c != "key_hash" and (c != "pkt_no" or c in needed)]
+    out = ordered.select(*passed).mapInArrow(
+        lambda batches: label_partition(batches, idle_us, finish), schema
+    )
+    return out if hot is None else out.unionByName(label_hot(hot, idle_us, hot_rows, finish, schema))
+
+
 def segment_packets(packets: DataFrame, idle: str = "gap", idle_us: int = IDLE_TIMEOUT_US,
                     hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
     """Label every packet with its flow (``flow_seq`` within the 5-tuple) and its verdict.
@@ -172,22 +237,82 @@ def segment_packets(packets: DataFrame, idle: str = "gap", idle_us: int = IDLE_T
     1 duplicate, 2 straggler)``, from_src, lost, gap_us, jitter_us, after_synack, closes``.
     ``hot_rows=None`` skips the count that looks for hot 5-tuples.
     """
-    from flowspark.operators.hot_segments import label_hot, split_hot
+    needed = [*TASK_KEYS, "ts_us", "pkt_no", "head", "body"]
 
-    ship_package(packets.sparkSession)
-    keyed = keyed_packets(with_clock(packets, idle)).select(
-        "key_hash", *dict.fromkeys([*CARRIED_COLUMNS, *WALK_COLUMNS])
-    )
-    cold, hot = (keyed, None) if hot_rows is None else split_hot(keyed, hot_rows)
-    labelled = _label_cold(cold, idle_us)
-    return labelled if hot is None else labelled.unionByName(label_hot(hot, idle_us, hot_rows))
+    def keep(batch: pa.RecordBatch, fields: dict, labels: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in needed], *labels.values()], names=[*needed, *labels]
+        )
 
+    walked = _walked(packets, idle, idle_us, hot_rows, keep, needed, _LABEL_FIELDS)
+    fields = {**unpacked_key(), **unpacked("head", HEAD_FIELDS), **unpacked("body", BODY_FIELDS)}
+    kinds = {"from_a": "boolean", "ip_total_len": "bigint"}
+    fields.update({c: fields[c].cast(kinds.get(c, "int")) for c in ("from_a", "tcp_flags", "ttl", "tcp_window")})
+    return walked.withColumns(fields).select(*CARRIED_COLUMNS, *LABEL_TYPES)
 
-def output_schema(packets: DataFrame) -> T.StructType:
-    return T.StructType([*[packets.schema[c] for c in CARRIED_COLUMNS], *_LABEL_FIELDS])
 
+def partial_flows(packets: DataFrame, idle: str = "gap", idle_us: int = IDLE_TIMEOUT_US,
+                  hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+    """Like ``segment_packets``, with the packets of a batch already combined to one row per flow.
 
-def _label_cold(keyed: DataFrame, idle_us: int) -> DataFrame:
-    ordered = keyed.repartition("key_hash").sortWithinPartitions("key_hash", *KEY_COLUMNS, "ts_us", "pkt_no")
-    schema = output_schema(keyed)
-    return ordered.mapInArrow(lambda batches: label_partition(batches, idle_us), schema)
+    Rows of one flow from different batches are still to be merged; sums, extremes and bit unions do that.
+    """
+    measures = [T.StructField(c, T.LongType()) for c in ("flow_seq", *PARTIAL_MEASURES)]
+    walked = _walked(packets, idle, idle_us, hot_rows, combine_flows, TASK_KEYS, measures)
+    return walked.withColumns(unpacked_key()).select(*KEY_COLUMNS, "flow_seq", *PARTIAL_MEASURES)
+
+
+def combine_flows(batch: pa.RecordBatch, fields: dict, labels: dict) -> pa.RecordBatch:
+    """Accepted packets of a labelled batch to one row per flow, whole columns at a time.
+
+    A flow's packets lie next to each other, so every measure is one reduction over its stretch. A missing
+    extreme is NULL; a missing sum is 0.
+    """
+    plain = lambda c, none=None: (labels[c] if none is None else pc.fill_null(labels[c], none)).to_numpy(
+        zero_copy_only=False)
+    kept = np.flatnonzero(plain("verdict") == ACCEPTED)
+    n = len(kept)
+    flow = plain("flow_seq")[kept]
+    keys = [batch.column(c).take(pa.array(kept)) for c in TASK_KEYS]
+    fresh = np.ones(n, dtype=bool)
+    if n > 1:
+        fresh[1:] = flow[1:] != flow[:-1]
+        for column in keys:
+            fresh[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(fresh)
+    ts, flags, length, ttl, window, from_a = (
+        fields[c][kept] for c in ("ts_us", "tcp_flags", "ip_total_len", "ttl", "tcp_window", "from_a"))
+    src, gap, jitter = plain("from_src", False)[kept].astype(bool), plain("gap_us", -1)[kept], plain("jitter_us", -1)[kept]
+    lost, closes, later = (plain(c)[kept] for c in ("lost", "closes", "after_synack"))
+    first, handshake = gap < 0, flags & (SYN | ACK)
+
+    def reduce(ufunc, keep, values, none) -> np.ndarray:
+        chosen = np.where(keep, values, np.int64(none))
+        return ufunc.reduceat(chosen, starts) if n else chosen
+
+    columns: dict[str, np.ndarray] = {}
+    for p, side in (("s", src), ("d", ~src)):
+        again = side & (jitter >= 0)
+        for name, keep, values in (
+            ("pkts", side, np.int64(1)), ("bytes", side, length), ("loss", side, lost),
+            ("_gap_sum", side & ~first, gap), ("_gaps", side & ~first, np.int64(1)),
+            ("_jit_sum", again, jitter), ("_jits", again, np.int64(1)),
+        ):
+            columns[p + name] = reduce(np.add, keep, values, 0)
+        columns[f"{p}_flags"] = reduce(np.bitwise_or, side, flags, 0)
+        columns[f"{p}ttl"] = reduce(np.maximum, side & first, ttl, 0)
+        columns[f"{p}win"] = reduce(np.maximum, side & first, window, 0)
+    latest, soonest = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    columns["src_is_a"] = reduce(np.maximum, src & first, from_a, latest)
+    columns["stime_us"], columns["ltime_us"] = reduce(np.minimum, True, ts, 0), reduce(np.maximum, True, ts, 0)
+    columns["close_us"] = reduce(np.maximum, closes, ts, latest)
+    columns["syn_us"] = reduce(np.minimum, src & (handshake == SYN), ts, soonest)
+    columns["synack_us"] = reduce(np.minimum, ~src & (handshake == SYN | ACK), ts, soonest)
+    columns["ack_us"] = reduce(np.minimum, src & (handshake == ACK) & later, ts, soonest)
+    at = pa.array(starts)
+    arrays = [
+        pa.array(columns[c], pa.int64(), mask=(columns[c] == latest) | (columns[c] == soonest)) for c in PARTIAL_MEASURES
+    ]
+    return pa.RecordBatch.from_arrays(
+        [*[c.take(at) for c in keys], pa.array(flow[starts]), *arrays], names=[*TASK_KEYS, "flow_seq", *PARTIAL_MEASURES]
+    )

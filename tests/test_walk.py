@@ -132,8 +132,7 @@ def test_hot_key_equals_plain_walk(spark, kind, idle):
 
 def test_hot_stretches_settle_after_one_more_walk(spark):
     keyed = S.keyed_packets(S.with_clock(table(spark, random_packets(300, "flood", 3)), "gap"))
-    keyed = keyed.select("key_hash", *dict.fromkeys([*S.CARRIED_COLUMNS, *S.WALK_COLUMNS]))
-    placed = H.stretches(keyed, ["key_hash", *S.KEY_COLUMNS, "ts_us", "pkt_no"], 50)
+    placed = H.stretches(keyed, S.SORT_KEYS, 50)
     _, info = HS.entry_states(placed, MIN)
     assert info["rounds"] == 1 and info["stretches"] > 5
 
