@@ -64,16 +64,21 @@ def filter_subscriber(alerts: DataFrame, min_prob: float = 0.0) -> DataFrame:
 def deliver(alerts: DataFrame, subscribers: DataFrame) -> DataFrame:
     """Every subscriber gets every alert that reaches its ``min_prob``.
 
-    Subscribers are grouped by their distinct ``min_prob`` first, so the range comparison meets few rows;
-    that small side is broadcast only after its size has been counted.
+    The comparison is no equality, so the subscribers are broadcast, but only after they have been counted;
+    more than ``MAX_BROADCAST_SUBSCRIBERS`` of them are joined on probability buckets instead.
     """
-    floor = F.coalesce(F.col("min_prob"), F.lit(0.0).cast("float"))
-    wanted = subscribers.select("client_id", floor.alias("min_prob"))
+    wanted = with_floor(subscribers)
     if wanted.limit(MAX_BROADCAST_SUBSCRIBERS + 1).count() > MAX_BROADCAST_SUBSCRIBERS:
         return _deliver_by_bucket(alerts, wanted)
     return alerts.join(F.broadcast(wanted), alerts["attack_prob"] >= wanted["min_prob"])
 
 
+def with_floor(subscribers: DataFrame) -> DataFrame:
+    """Subscribers whose absent ``min_prob`` is 0."""
+    floor = F.coalesce(F.col("min_prob"), F.lit(0.0).cast("float"))
+    return subscribers.select("client_id", floor.alias("min_prob"))
+
+
 def _deliver_by_bucket(alerts: DataFrame, wanted: DataFrame, buckets: int = 1000) -> DataFrame:
     """Delivery as an equi-join for many subscribers: an alert visits the probability buckets below it.
 
