@@ -27,7 +27,9 @@ def flag_alerts(scored: DataFrame, ts: str = "ts_us", order: list[str] | None =
                 ttl_us: int = ALERT_TTL_US, hot_rows: int | None = None) -> DataFrame:
     """Add ``alert``: an attack whose (source, destination, protocol) did not alert within ``ttl_us``.
 
-    All rows stay. Only attacks take part in the keyed shuffle; normal rows pass by it.
+    All rows stay. Only attacks take part in the keyed shuffle; normal rows pass by it. The input is read
+    once for the attacks, once for the rest and once to look for hot keys, so pass a stored table of
+    scores rather than a plan that would score them again.
     """
     attacks = scored.filter(F.col("label") == 1)
     others = scored.filter(~F.coalesce(F.col("label") == 1, F.lit(False)))

@@ -235,7 +235,8 @@ def segment_packets(packets: DataFrame, idle: str = "gap", idle_us: int = IDLE_T
 
     Columns: the 5-tuple key, the packet's order and header fields, and ``flow_seq, verdict`` (0 accepted,
     1 duplicate, 2 straggler)``, from_src, lost, gap_us, jitter_us, after_synack, closes``.
-    ``hot_rows=None`` skips the count that looks for hot 5-tuples.
+    ``hot_rows=None`` skips the count that looks for hot 5-tuples. That count reads the key columns of
+    ``packets`` once more, so a table decoded from captures is best stored first.
     """
     needed = [*TASK_KEYS, "ts_us", "pkt_no", "head", "body"]
 

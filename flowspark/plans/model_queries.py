@@ -16,6 +16,7 @@ from flowspark.operators import training as M
 from flowspark.operators.scoring import score_vectors
 from flowspark.plans.inputs import flows, once
 from flowspark.plans.registry import query
+from flowspark.session import cut_lineage
 
 SMALL_BOOST = {"n_estimators": 8, "max_depth": 3, "learning_rate": 0.3}
 SMALL_FOREST = {"n_estimators": 10, "max_depth": 5}
@@ -157,7 +158,9 @@ def _pipeline_model(spark, folder):
 def scored_flows(spark, folder):
     df = flows(spark, folder)
     vectors = encode_flows(df, "capture_id", "emit_no", F.col("ltime_us").alias("ts_us"))
-    return A.flag_alerts(score_vectors(vectors, _pipeline_model(spark, folder)), order=["capture_id", "emit_no"])
+    # The alert rule reads the scores several times, so they are materialised; every scored flow is kept anyway.
+    scored = cut_lineage(score_vectors(vectors, _pipeline_model(spark, folder)))
+    return A.flag_alerts(scored, order=["capture_id", "emit_no"])
 
 
 @query("srcip string, dstip string, proto string, flows bigint, attacks bigint, alerts bigint", None)

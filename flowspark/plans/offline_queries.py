@@ -51,12 +51,16 @@ def exact_dedup(spark, folder):
     return prep.drop_repeats(coarse(spark, folder))
 
 
-@query("column string", """select unnest(['dur', 'rate', 'sload', 'smean', 'spkts']) as "column" """)
+@query("column string, present bigint, total double6", " union all ".join(
+    f"""select '{c}' "column", count({c}) present, sum({c}) total from ({LABELLED}) l""" for c in NUMERIC))
 def numeric_discovery(spark, folder):
-    """The numeric columns of the table after dropping the columns the study leaves out."""
+    """The numeric columns found after dropping what the study leaves out, each with its count and sum."""
     df = prep.drop_irrelevant(views.labelled(spark, folder))
-    names = F.array(*[F.lit(c) for c in prep.numeric_columns(df)])
-    return df.limit(1).select(F.explode(names).alias("column"))
+    names = prep.numeric_columns(df)
+    row = df.agg(*[m for c in names for m in (F.count(c).alias(f"n_{c}"), F.sum(c).alias(f"s_{c}"))])
+    entries = [F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("present"), F.col(f"s_{c}").alias("total"))
+               for c in names]
+    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
 @query("prefix string, category string", " union all ".join(
@@ -64,8 +68,8 @@ def numeric_discovery(spark, folder):
 def one_hot_fit(spark, folder):
     df = prep.add_buckets(views.labelled(spark, folder), TOP)
     categories = prep.fit_categories(df, PREFIXES)
-    pairs = [F.struct(F.lit(p).alias("prefix"), F.lit(c).alias("category")) for p, v in categories.items() for c in v]
-    return df.limit(1).select(F.explode(F.array(*pairs)).alias("e")).select("e.*")
+    pairs = [(p, c) for p, values in categories.items() for c in values]
+    return spark.createDataFrame(pairs, "prefix string, category string")
 
 
 def served(spark, folder):
@@ -103,9 +107,8 @@ _LOGGED = f"select *, ln(1 + sload) sload_log, ln(1 + rate) rate_log, ln(1 + spk
 def scaler_fit(spark, folder):
     df = prep.add_logs(views.labelled(spark, folder), ["sload", "rate", "spkts"])
     fitted = prep.fit_scaler(df, _SCALED_COLUMNS)
-    rows = [F.struct(F.lit(c).alias("column"), F.lit(m).alias("mean"), F.lit(s).alias("deviation"))
-            for c, (m, s) in fitted.items()]
-    return df.limit(1).select(F.explode(F.array(*rows)).alias("e")).select("e.*")
+    rows = [(c, mean, deviation) for c, (mean, deviation) in fitted.items()]
+    return spark.createDataFrame(rows, "column string, mean double, deviation double")
 
 
 def _z(column, source):

@@ -2,10 +2,12 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from flowspark.contracts import DEFAULT_THRESHOLD, MODEL_COLUMNS
+
 # Producer settings of the topic sink.
 TOPIC_OPTIONS = {
     "kafka.compression.type": "lz4", "kafka.linger.ms": "10", "kafka.batch.size": str(1 << 20),
@@ -66,3 +68,22 @@ def write_prepared(outputs: dict[str, DataFrame], folder: str, format: str = "pa
     for name, df in outputs.items():
         writer = df.write.mode("overwrite")
         (writer.option("header", True) if format == "csv" else writer).format(format).save(f"{folder}/{name}")
+
+
+def write_contract(spark: SparkSession, path: str, threshold: float) -> None:
+    """The model's input order and decision threshold, beside the model."""
+    row = spark.createDataFrame([(MODEL_COLUMNS, float(threshold))], "columns array<string>, threshold double")
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_threshold(spark: SparkSession, path: str | None = None, override: float | None = None) -> float:
+    """The threshold in force: ``override``, else the stored one, else the default. The stored input order
+    must be the one this package encodes."""
+    if override is not None:
+        return float(override)
+    if path is None:
+        return DEFAULT_THRESHOLD
+    row = spark.read.schema("columns array<string>, threshold double").json(path).first()
+    if row["columns"] != MODEL_COLUMNS:
+        raise ValueError("the stored model expects other columns")
+    return row["threshold"]

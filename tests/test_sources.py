@@ -152,3 +152,9 @@ def test_flow_record_has_the_declared_fields(spark, tmp_path):
     (tmp_path / "a.pcap").write_bytes(pcap([(1, 2, ethernet(ip(6, tcp(), 40)))]))
     flows = packets_to_flows(read_packets(spark, str(tmp_path)), hot_rows=None)
     assert flows.columns[:44] == FLOW_COLUMNS and len(FLOW_COLUMNS) == 44
+
+
+def test_threshold_contract(spark, tmp_path):
+    sinks.write_contract(spark, str(tmp_path / "c"), 0.42)
+    assert sinks.read_threshold(spark, str(tmp_path / "c")) == 0.42
+    assert sinks.read_threshold(spark) == 0.69 and sinks.read_threshold(spark, None, 0.5) == 0.5
