@@ -279,3 +279,12 @@ def median_ratios(served: DataFrame, trained: DataFrame, columns: list[str]) ->
     both = middle.groupBy("column").agg(of("served").alias("served"), of("trained").alias("trained"))
     ratio = F.when(F.col("trained") != 0, F.col("served") / F.col("trained"))
     return both.select("column", "served", "trained", ratio.alias("ratio"))
+
+
+def evaluate(df: DataFrame, threshold: float = 0.5, prob: str = "prob") -> dict[str, DataFrame]:
+    """All standard tables of one scored set."""
+    return {
+        "scalars": scalar_metrics(df, threshold, prob), "confusion": confusion_matrix(df, threshold, prob),
+        "report": classification_report(df, threshold, prob), "ranking": ranking_metrics(df, prob),
+        "roc": roc_curve(df, prob), "precision_recall": pr_curve(df, prob),
+    }
