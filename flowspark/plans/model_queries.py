@@ -15,6 +15,7 @@ from flowspark.operators import explain as X
 from flowspark.operators import training as M
 from flowspark.operators.scoring import score_vectors
 from flowspark.plans.inputs import flows, once
+from flowspark.plans.oracle import over_flows
 from flowspark.plans.registry import query
 from flowspark.session import cut_lineage
 
@@ -75,7 +76,12 @@ for _kind, _name in (("boost", "boosted_trees"), ("forest", "random_forest"), ("
     query(_QUALITY, None, f"{_name}_quality")(_quality(_kind))
 
 
-@query("label double, weight double6, n bigint", None)
+_LABELS = "(select case when starts_with(srcip, '175.45.176.') then 1.0 else 0.0 end as \"label\" from flows) l"
+
+
+@query("label double, weight double6, n bigint", over_flows(f"""
+select "label", sum(n) over () / cast(2 * n as double) weight, n
+from (select "label", count(*) n from {_LABELS} group by 1) c"""))
 def class_weights(spark, folder):
     weighted = M.with_balanced_weight(training_table(spark, folder))
     return weighted.groupBy("label", "weight").agg(F.count("*").alias("n"))
@@ -88,7 +94,9 @@ def boosting_rounds(spark, folder):
     return M.loss_per_round(model, df.filter("held_out"))
 
 
-@query("label double, fold int, n bigint", None)
+@query("label double, fold int, n bigint", over_flows(f"""
+select "label", fold, (n - fold + 4) // 5 n
+from (select "label", count(*) n from {_LABELS} group by 1) c, (select unnest(range(5)) fold) f"""))
 def stratified_folds(spark, folder):
     return M.with_folds(training_table(spark, folder), 5).groupBy("label", "fold").agg(F.count("*").alias("n"))
 
