@@ -1,10 +1,12 @@
 """The queries ``op1`` to ``op10`` and the SQL that checks them."""
 
-from flowspark.llm.tables import table
-from flowspark.llm import quality_rules, sharding, url_filter
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowspark.llm import bpe, line_dedup, packing, quality_rules, sharding, url_filter, warc
+from flowspark.llm.tables import table
+
 QUERIES = {}
 CHECKS = {}
 
@@ -19,6 +21,31 @@ def _query(sql: str | None = None):
     return register
 
 
+@_query(r"""
+with d as (select page_id, strlen(coalesce(html, '')) payload_bytes, sha1(coalesce(html, '')) x from pages),
+g as (select x, max(page_id) winner from d group by x)
+select page_id, cast(payload_bytes as bigint) payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(
+    (cast('0x' || substr(x, 1 + 10 * (i // 8), 10) as bigint) >> cast(35 - 5 * (i % 8) as bigint)) & 31 as int), 1)), '')
+    payload_digest,
+  case when winner <> page_id then 'revisit' else 'response' end record_type,
+  case when winner <> page_id then winner end refers_to
+from d join g using (x)
+""")
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to archives and read back from them."""
+    pages = table(spark, folder, "pages", ["page_id", "url", "html"])
+    rows = warc.archive_round_trip(pages, "page_id", "url", "html")
+    checked = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat_ws(" ", "path", "offset", "problem")))
+
+    def page(column: str):
+        return F.expr(f"try_cast(substring_index({column}, ':', -1) as bigint)")
+
+    return rows.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest",
+        checked.otherwise(F.col("record_type")).alias("record_type"), page("refers_to_id").alias("refers_to"))
+
+
 @_query(r"""
 with u as (select page_id, coalesce(url, '') url from pages),
 r as (select page_id, url, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end rest from u),
@@ -105,3 +132,37 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     slots = sharding.with_slots(placed, "doc_id", ["text_crc32", "size"])
     grown = sharding.rendezvous(F.col("doc_id"), [1.0] * (sharding.SHARDS + 1))
     return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", grown.alias("grown_shard"))
+
+
+@_query(r"""
+with l as (select doc_id, unnest(range(len(ls))) i, unnest(ls) line
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents)),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key from l),
+o as (select key, min(doc_id) owner from k where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
+m as (select k.*, o.owner is not null and o.owner <> doc_id dropped from k left join o using (key))
+select doc_id, count(*) n_lines, cast(sum(cast(dropped as int)) as bigint) n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (not dropped), '')) kept_sha256
+from m group by doc_id
+""")
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that a smaller doc_id holds."""
+    return line_dedup.dedup_lines(table(spark, folder, "documents", ["doc_id", "text"]), "doc_id", "text", digests=True)
+
+
+TOKENIZER, CLOSING_ID = public_tokenizers.path("word_bpe_49k.json"), 2
+
+
+@_query()
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids in sequences of 4096."""
+    docs = table(spark, folder, "documents", ["doc_id", "text"])
+    return packing.pack_documents(docs, "doc_id", "text", TOKENIZER, CLOSING_ID)
+
+
+@_query()
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again; ids and bytes as digests."""
+    docs = table(spark, folder, "documents", ["doc_id", "text"])
+    return bpe.encode_rows(docs, "text", ["doc_id"], public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                           public_tokenizers.PATTERN, ids=False)
