@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import bpe, line_dedup, packing, quality_rules, sharding, url_filter, warc
+from flowspark.llm import bpe, jaccard, line_dedup, packing, quality_rules, sharding, url_filter, warc
 from flowspark.llm.tables import table
 
 QUERIES = {}
@@ -134,6 +134,23 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", grown.alias("grown_shard"))
 
 
+@_query(r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') words from documents),
+s as (select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
+    else list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) end) g from w),
+n as (select w.doc_id, count(g) n from w left join s using (doc_id) group by w.doc_id),
+p as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+r as (select doc_id, doc_id as reach from n union select r.doc_id, e.y from r join e on e.x = r.reach)
+select n.doc_id, n.n n_shingles, min(reach) component_id from n join r using (doc_id) group by n.doc_id, n.n
+""")
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles are 85 % alike."""
+    return jaccard.jaccard_components(table(spark, folder, "documents", ["doc_id", "text"]), "doc_id", "text", 4, 85)
+
+
 @_query(r"""
 with l as (select doc_id, unnest(range(len(ls))) i, unnest(ls) line
   from (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents)),
