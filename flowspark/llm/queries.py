@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import bpe, jaccard, line_dedup, packing, quality_rules, sharding, url_filter, warc
+from flowspark.llm import bpe, jaccard, line_dedup, packing, quality_rules, sharding, topk, url_filter, warc
 from flowspark.llm.tables import table
 
 QUERIES = {}
@@ -46,6 +46,20 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
         checked.otherwise(F.col("record_type")).alias("record_type"), page("refers_to_id").alias("refers_to"))
 
 
+@_query("""
+with e as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) score
+  from e q join e c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+""")
+def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best of all vectors for every vector whose id is divisible by 20."""
+    return topk.top_k(table(spark, folder, "embeddings", ["vec_id", "embedding"]), "vec_id", "embedding", "id % 20 = 0")
+
+
 @_query(r"""
 with u as (select page_id, coalesce(url, '') url from pages),
 r as (select page_id, url, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end rest from u),
