@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import bpe, jaccard, line_dedup, packing, quality_rules, sharding, topk, url_filter, warc
+from flowspark.llm import bpe, jaccard, line_dedup, packing, quality_classifier, quality_rules, sharding, topk, url_filter, warc
 from flowspark.llm.tables import table
 
 QUERIES = {}
@@ -197,3 +197,15 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", ["doc_id", "text"])
     return bpe.encode_rows(docs, "text", ["doc_id"], public_tokenizers.path("byte_bpe_50k.tiktoken"),
                            public_tokenizers.PATTERN, ids=False)
+
+
+META = ("lang", "source", "n_chars")
+
+
+@_query()
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's score by two co-trained views, and whether it is kept."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    models = quality_classifier.fit(docs, labels, "doc_id", "text", META)
+    rows = quality_classifier.score(docs, models, "text", META, keep=["doc_id"])
+    return rows.select("doc_id", "score", "kept", "p_text", "p_meta")
