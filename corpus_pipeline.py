@@ -25,7 +25,7 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the current policy."""
-    return quality_rules.ledger(docs).where(quality_rules.kept()).select(*COLUMNS)
+    return quality_rules.passing(docs.select(*COLUMNS))
 
 
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,6 +129,17 @@ def kept(policy: str = CURRENT) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy]).cast("long")) == 0
 
 
+def passing(df: DataFrame, text: str = "text", policy: str = CURRENT) -> DataFrame:
+    """Rows of ``df`` that a policy lets through, with the columns of ``df``.
+
+    The bits go through a generator of one row each: a plain filter would be pushed into the measurements, and their
+    expressions written out there once for every use.
+    """
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(f"`{text}`").alias("__text"))
+    rows = ledger(packed, "__text").select("__row", F.explode(F.array("fail_bits")).alias("__bits"))
+    return rows.where(F.col("__bits").bitwiseAND(F.lit(POLICIES[policy]).cast("long")) == 0).select("__row.*")
+
+
 def ablation(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
     """One row per rule of a policy: documents failing it, failing it alone, and kept if it were left out.
 
