@@ -5,11 +5,12 @@
 2. Tokens have one global order: by hash, very frequent ones last. Two sets that qualify must share a token among
    the first n - ceil(t n) + 1 of each, and in fact quite a number of them (:func:`least_shared`). Those prefix
    tokens are shuffled once into buckets.
-3. Similar documents are put in groups: in every bucket each document is compared with the bucket's first one only,
-   exact checks give links, and their components, cut into groups of bounded size, are the partition.
-4. The matrix holds each group's union of prefix tokens. A query document counts its overlap with the unions of
-   groups outside its own component, and only groups that could hold a partner are opened: their members are checked
-   exactly. Inside a component nothing is left to find, because the result is components.
+3. Similar documents are put in groups: in every bucket each document is compared with the bucket's lead only. Exact
+   checks of those pairs give components; these and the leads, cut by size into groups of a bounded number of rows,
+   are the partition.
+4. The matrix holds each group's union of prefix tokens. A query document counts its overlap with the unions, and
+   only groups that could hold a partner outside its component are opened: their members are checked exactly, many
+   at once. Inside a component nothing is left to find, because the result is components.
 
 No link between different sets is lost: a pair is either in one component after step 3 or meets in a bucket in step 4,
 where the bound is an upper one. Nothing is capped; the list of frequent tokens only moves work, and is bounded.
@@ -34,7 +35,7 @@ from flowspark.session import ship_package
 MEMORY_WORDS = 400_000
 #: A token is frequent from this many documents on; at most so many of the most frequent ones are listed.
 FREQUENT, MOST_FREQUENT = 64, 100_000
-GROUP_ROWS = 64
+GROUP_ROWS, QUERY_ROWS = 128, 64
 #: Prefix tokens have small hashes, so only hashes in this lower share of the range are counted.
 COUNTED_SHARE = 0.4
 
@@ -247,39 +248,106 @@ def linked(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
     return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _groups(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc, component, grp): components cut into groups of about ``GROUP_ROWS``, for documents with links."""
-    sizes = found.groupBy("component").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("parts"))
-    return found.join(sizes, "component").select(
-        F.col("node").alias("doc"), "component",
-        F.xxhash64("component", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("grp"))
+def _groups(star: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, component, grp) for documents with a close lead or a link.
 
-
-def qualifying_pairs(buckets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents in different components that the token-group matrix cannot rule out."""
-    groups = stored(_groups(buckets, found), "groups")
-    placed = buckets.join(sized(groups), "doc", "left").select(
+    A large component is cut into groups of its own; other documents go by their closest lead. Groups hold documents of
+    about the same size, ``GROUP_ROWS`` or so.
+    """
+    led = star.groupBy(F.col("b").alias("doc")).agg(
+        F.max_by("a", F.struct("shared", -F.col("a"))).alias("lead"), F.first("m").alias("n"))
+    leads = star.groupBy(F.col("a").alias("doc")).agg(F.first("n").alias("n")).join(
+        led.select("doc"), "doc", "left_anti").select("doc", F.col("doc").alias("lead"), "n")
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    tied = found.join(sizes, "component").select(F.col("node").alias("doc"), "component", "size")
+    joined = led.select("doc", "lead", "n").union(leads).join(tied, "doc", "left").select(
+        "doc", F.coalesce("component", "doc").alias("component"),
+        F.when(F.col("size") > GROUP_ROWS, F.xxhash64("component", F.lit("own"))).otherwise(
+            F.xxhash64("lead", F.lit("lead"))).alias("base"),
+        F.floor(F.log(F.col("n").cast("double")) / 0.05).alias("band"))
+    joined = stored(joined, "bases")
+    parts = joined.groupBy("base", "band").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("parts"))
+    return joined.join(sized(stored(parts, "parts")), ["base", "band"]).select(
+        "doc", "component", F.xxhash64("base", "band", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("grp"))
+
+
+def opened_groups(buckets: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, component, g) for queries and groups the matrix cannot rule out, and (g, doc, component) of all groups.
+
+    A group is left out for documents whose component all its members are in.
+    """
+    entries = stored(buckets.join(sized(groups), "doc", "left").select(
         "token", "doc", "n", F.coalesce("component", "doc").alias("component"),
-        F.coalesce("grp", F.xxhash64("doc", F.lit("alone"))).alias("grp"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    entries = stored(placed.join(mixed.select("token"), "token"), "entries")
-    members = entries.select("grp", "doc", "n").distinct()
-    ranges = members.groupBy("grp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    matrix = entries.select("token", "grp", "component").distinct().join(ranges, "grp").select(
-        "token", F.col("grp").alias("g"), F.col("component").alias("c"), "least_n", "most_n")
-    matrix = stored(matrix, "matrix")
-    near = (F.col("component") != F.col("c")) & (100 * F.col("most_n") >= percent * F.col("n")) & (
-        100 * F.col("n") >= percent * F.col("least_n"))
-    overlap = entries.join(matrix, "token").where(near).groupBy("doc", "n", "g", "least_n", "most_n").agg(
+        F.coalesce("grp", F.xxhash64("doc", F.lit("alone"))).alias("grp")), "entries")
+    mixed = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    entries = stored(entries.join(mixed.select("token"), "token"), "mixed")
+    members = stored(entries.select("grp", "doc", "n", "component").distinct(), "members")
+    extent = members.groupBy("grp").agg(
+        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    matrix = stored(entries.select("token", "grp").distinct().join(extent, "grp").withColumnRenamed("grp", "g"), "matrix")
+    near = ((F.col("component") != F.col("lo")) | (F.col("component") != F.col("hi"))) & (
+        100 * F.col("most_n") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least_n"))
+    overlap = entries.join(matrix, "token").where(near).groupBy("doc", "n", "component", "g", "least_n", "most_n").agg(
         F.count("*").alias("shared"))
     # Over the sizes a member may have, fewest shared tokens are asked for at either end of the range.
     low = F.greatest("least_n", F.ceil(F.lit(percent) * F.col("n") / 100).cast("int"))
     high = F.least("most_n", F.floor(100 * F.col("n") / percent).cast("int"))
     asked = F.least(least_shared(F.col("n"), low, percent), least_shared(F.col("n"), high, percent))
-    opened = stored(overlap.where(F.col("shared") >= asked).select("doc", "n", "g"), "opened")
-    inside = stored(members.select(F.col("grp").alias("g"), F.col("doc").alias("other"), F.col("n").alias("m")), "members")
-    pairs = opened.join(inside, "g").where(_sizes_fit(F.col("n"), F.col("m"), percent))
-    return pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).where("a < b").distinct()
+    # A document alone in its own group has no partner there.
+    own = F.col("g") == F.xxhash64("doc", F.lit("alone"))
+    opened = overlap.where((F.col("shared") >= asked) & ~own).select("doc", "component", "g")
+    return stored(opened, "opened"), members.select(F.col("grp").alias("g"), "doc", "component")
+
+
+def links_in_groups(texts: DataFrame, opened: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): for every query and opened group, a link to each component in it that the query links with.
+
+    Queries of a group travel in parts of about ``QUERY_ROWS``, each meeting the group's members once.
+    """
+    inside = members.join(opened.select("g").distinct(), "g", "left_semi")
+    inside = stored(inside, "inside")
+    wanted = stored(opened.select("doc").union(inside.select("doc")).distinct().withColumnRenamed("doc", "b"), "wanted")
+    sets = texts.join(sized(wanted), F.col("doc") == F.col("b")).select("doc", "text").mapInArrow(
+        _sets("set", size), "doc bigint, set binary").dropDuplicates(["doc"])
+    sets = stored(sets, "sets")
+    parts = stored(opened.groupBy("g").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("parts")), "parts")
+    asking = opened.join(sized(parts), "g").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
+    asking = asking.join(sets, "doc").groupBy("g", "part").agg(F.collect_list(F.struct("doc", "component", "set")).alias("asking"))
+    asked = inside.join(sets, "doc").groupBy("g").agg(F.collect_list(F.struct("doc", "component", "set")).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("asking"), batch.column("asked")):
+                a, b = _links_between(_unpacked(x.values), _unpacked(y.values), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return asking.join(asked, "g").select("asking", "asked").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    sets = [np.frombuffer(v.as_buffer(), np.int64) for v in rows.field("set")]
+    return rows.field("doc").to_numpy(), rows.field("component").to_numpy(), sets
+
+
+def _links_between(asking: tuple, asked: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two lists of sets, one for each query and component of the other side."""
+    docs, own, sets = asking
+    others, components_, held = asked
+    tokens = np.concatenate(held)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], np.repeat(np.arange(len(held)), [len(h) for h in held])[order]
+    sizes = np.array([len(h) for h in held])
+    a, b = [], []
+    for doc, component, mine in zip(docs, own, sets):
+        begin, end = np.searchsorted(tokens, mine), np.searchsorted(tokens, mine, "right")
+        lengths = end - begin
+        at = np.repeat(begin - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        both = np.bincount(owner[at], minlength=len(held))
+        good = (100 * both >= percent * (len(mine) + sizes - both)) & (components_ != component)
+        for other in np.unique(components_[good], return_index=True)[1]:
+            a.append(doc)
+            b.append(others[good][other])
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def jaccard_components(df: DataFrame, key: str, text: str, size: int = 5, percent: int = 80) -> DataFrame:
@@ -298,12 +366,11 @@ def jaccard_components(df: DataFrame, key: str, text: str, size: int = 5, percen
     # Only grouping depends on these pairs, so half of the shared tokens is asked for: a bucket may have another lead.
     close = _sizes_fit(F.col("n"), F.col("m"), percent) & (
         2 * F.col("shared") >= least_shared(F.col("n"), F.col("m"), percent))
-    star = stored(counted.where(close).select("a", "b"), "star")
-    links = stored(linked(known, star, size, percent), "links")
-    found = components(links)
-    more = stored(qualifying_pairs(buckets, found, percent), "pairs")
-    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(
-        stored(linked(known, more, size, percent), "links")))
+    star = stored(counted.where(close), "star")
+    found = stored(components(linked(known, star.select("a", "b"), size, percent)), "found")
+    opened, members = opened_groups(buckets, stored(_groups(star, found), "groups"), percent)
+    more = links_in_groups(known, opened, members, size, percent)
+    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     classes = signed.where("n > 0 and doc is not null").groupBy("n", "k1", "k2").agg(F.min("doc").alias("first"))
     parts = classes.join(sized(stored(found, "components")), F.col("first") == F.col("node"), "left").select(
         "n", "k1", "k2", F.coalesce("component", "first").alias("component"))
