@@ -15,11 +15,14 @@ sequence per class, so its memory does not grow with the input.
 """
 
 import hashlib
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -27,9 +30,15 @@ from tokenizers import Tokenizer
 from flowspark.session import ship_package
 
 CAPACITY, TOLERANCE = 4096, 0.005
-MEMORY_CHUNKS = 300_000
+MEMORY_CHUNKS = 250_000
 BATCH_PIECES = 20_000
 
+_MARKS = "!#$%&*+,-./:;<=>?@[]^_`{|}~\"()"  # without the apostrophe, which may begin a contraction
+_LATIN = regex.compile(r"[!-~\u00a1-\u024f]*").fullmatch
+#: The letter that stands for each byte in byte-level vocabularies: itself where it is printable, else from U+0100 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = [chr(b if b in _PRINTABLE else 0x100 + sum(c not in _PRINTABLE for c in range(b))) for b in range(256)]
+
 
 def piece_lengths(n: int, capacity: int = CAPACITY, tolerance: float = TOLERANCE) -> list[int]:
     """How a document of ``n`` tokens is cut."""
@@ -92,28 +101,71 @@ class Packer:
             yield from self._sequence(taken)
 
 
-class ChunkTokens(dict):
-    """Ids of the stretches between spaces and line ends.
+class _Memory(dict):
+    """A bounded memory of ``make``'s answers. When it is full, what was not asked for since it last was goes."""
+
+    def __init__(self):
+        super().__init__()
+        self.older = {}
+
+    def make(self, key: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= MEMORY_CHUNKS:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
+class _PieceTokens(_Memory):
+    """Ids (as little-endian bytes) of what the vocabulary's pattern cuts out of lower-case text."""
 
-    The vocabulary's words end at white space, so a text's ids are those of its stretches one after the other. New
-    stretches of a batch of texts are encoded in one call, known ones come from a bounded memory.
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.tokenize = tokenizer.model.tokenize
+
+    def make(self, piece: str) -> bytes:
+        word = piece if piece.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
+
+
+class ChunkTokens(_Memory):
+    """Ids (as little-endian bytes) of the stretches between spaces and line ends, kept in bounded memories.
+
+    The vocabulary's words end at white space, so a text's ids are those of its stretches one after the other. In
+    stretches of printable Latin characters, where normalising is lower-casing, the pattern's pieces are looked up one
+    by one; all others go through the whole tokenizer.
     """
 
     def __init__(self, description: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(description)
         self.tokenizer.encode_special_tokens = True
-
-    def encode(self, texts: list[str], closing: int) -> Iterator[np.ndarray]:
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            new = list({c for c in chunks if c not in self})
-            if len(self) + len(new) > MEMORY_CHUNKS:
-                self.clear()
-                new = list(set(chunks))
-            for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self[chunk] = np.array(found.ids, np.uint32).tobytes()
-            yield np.frombuffer(b"".join(map(self.__getitem__, chunks)) + closing.to_bytes(4, "little"), np.uint32)
+        wanted = json.loads(description)
+        normal = [n["type"] for n in wanted["normalizer"]["normalizers"]]
+        split = wanted["pre_tokenizer"]["pretokenizers"][0]
+        if normal != ["NFC", "Replace", "Lowercase"] or not split["invert"]:
+            raise ValueError("a tokenizer that lower-cases and keeps a pattern's matches is needed")
+        self.find = regex.compile(split["pattern"]["Regex"]).findall
+        self.pieces = _PieceTokens(self.tokenizer)
+
+    def make(self, chunk: str) -> bytes:
+        if not _LATIN(chunk):
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        low = chunk.lower()
+        word = low.rstrip(_MARKS)
+        if word.isalpha():  # letters and then marks are two pieces
+            return self.pieces[word] + self.pieces[low[len(word):]] if len(word) < len(low) else self.pieces[word]
+        return b"".join(map(self.pieces.__getitem__, self.find(low)))
+
+    def encode(self, text: str, closing: int) -> np.ndarray:
+        found = b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return np.frombuffer(found + closing.to_bytes(4, "little"), np.uint32)
 
 
 _tokenizers: dict[str, ChunkTokens] = {}
@@ -159,10 +211,9 @@ def pack_documents(df: DataFrame, key: str, text: str, tokenizer_path: str, clos
 
         for batch in batches:
             kind_of_key = batch.column(0).type
-            at = 0
-            for ids in tokens.encode((t.as_py() or "" for t in batch.column(1)), closing):
-                put(packer.add((batch.column(0)[at].as_py(), len(ids)), ids))
-                at += 1
+            for name, text_ in zip(batch.column(0), batch.column(1)):
+                ids = tokens.encode(text_.as_py() or "", closing)
+                put(packer.add((name.as_py(), len(ids)), ids))
                 if len(rows) >= BATCH_PIECES:
                     yield batch_of()
         put(packer.close())
