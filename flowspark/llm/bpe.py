@@ -16,7 +16,7 @@ only where ``keep`` names them.
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 
 from flowspark.session import ship_package
 
-MEMORY_PIECES, MEMORY_BYTES = 200_000, 64
+#: Bounds of what a task remembers: pieces and prefixes (two generations of each), pairs of tokens, bytes of a piece.
+MEMORY_PIECES, MEMORY_PREFIXES, MEMORY_PAIRS, MEMORY_BYTES = 250_000, 400_000, 600_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,7 +41,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes = ranks, {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
 
     def merge(self, data: bytes) -> list[int]:
@@ -65,11 +66,12 @@ class Vocabulary:
 
     def stays(self, left: int, right: int) -> bool:
         """Whether two tokens side by side are left unmerged and uncut."""
-        known = self._pairs.get((left, right))
+        key = left << 32 | right
+        known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) >= 4 * MEMORY_PIECES:
+            if len(self._pairs) >= MEMORY_PAIRS:
                 self._pairs.clear()
-            known = self._pairs[left, right] = self.merge(self.bytes[left] + self.bytes[right]) == [left, right]
+            known = self._pairs[key] = self.merge(self.bytes[left] + self.bytes[right]) == [left, right]
         return known
 
 
@@ -85,9 +87,7 @@ class Prefixes:
         v, ranks = self.vocabulary, self.vocabulary.ranks
         for start in range(max(0, end - v.longest), end):
             token = ranks.get(data[start:end])
-            if token is None or not v.reachable(token):
-                continue
-            if start == 0 or v.stays(self.last[start - 1], token):
+            if token is not None and v.reachable(token) and (start == 0 or v.stays(self.last[start - 1], token)):
                 return token
         raise ValueError(f"bytes {data[max(0, end - 8):end]!r} cannot be encoded")
 
@@ -119,32 +119,73 @@ class Prefixes:
     def ids(self) -> list[int]:
         found, end = [], len(self.data)
         while end:
-            token = self.last[end - 1]
-            found.append(token)
-            end -= len(self.vocabulary.bytes[token])
+            found.append(self.last[end - 1])
+            end -= len(self.vocabulary.bytes[found[-1]])
         return found[::-1]
 
 
-class _Pieces(dict):
-    """Ids of pieces seen before, filled on demand and emptied when full."""
+class Memory(dict):
+    """A bounded memory: when it is full, what was not asked for since it last was is forgotten."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, size: int, make: Callable):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.size, self.make, self.older = size, make, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
+class _Pieces(Memory):
+    """Ids of pieces. Words share beginnings, so the last tokens of prefixes are remembered across pieces."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__(MEMORY_PIECES, self.encode)
+        self.vocabulary, self.prefixes, self.older_prefixes = vocabulary, {}, {}
 
     def __missing__(self, piece: str) -> list[int]:
+        return super().__missing__(piece) if len(piece) <= MEMORY_BYTES else self.encode(piece)
+
+    def encode(self, piece: str) -> list[int]:
         data = piece.encode()
         token = self.vocabulary.ranks.get(data)
         # A token that merging reaches is its own encoding.
         if token is not None and self.vocabulary.reachable(token):
-            ids = [token]
-        else:
-            ids = Prefixes(self.vocabulary, data).ids()
-        if len(piece) <= MEMORY_BYTES:
-            if len(self) >= MEMORY_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+            return [token]
+        if len(data) > MEMORY_BYTES:
+            return Prefixes(self.vocabulary, data).ids()
+        if len(self.prefixes) >= MEMORY_PREFIXES:
+            self.older_prefixes, self.prefixes = self.prefixes, {}
+        found, size = [], self.vocabulary.bytes
+        while data:
+            found.append(self.last_token(data))
+            data = data[:-len(size[found[-1]])]
+        return found[::-1]
+
+    def last_token(self, prefix: bytes) -> int:
+        """The token that ends the encoding of a prefix, from memory or from the shorter prefixes it depends on."""
+        token = self.prefixes.get(prefix)
+        if token is None:
+            token = self.older_prefixes.get(prefix)
+            if token is None:
+                token = self._find_last(prefix)
+            self.prefixes[prefix] = token
+        return token
+
+    def _find_last(self, prefix: bytes) -> int:
+        v, rank = self.vocabulary, self.vocabulary.ranks.get
+        for start in range(len(prefix)):
+            token = rank(prefix[start:])
+            if token is not None and v.reachable(token) and (
+                    start == 0 or v.stays(self.last_token(prefix[:start]), token)):
+                return token
+        raise ValueError(f"bytes {prefix[-8:]!r} cannot be encoded")
 
 
 class Encoder:
