@@ -23,17 +23,17 @@ def brute(rows):
             owners = holders.get(line.strip(" \t\n\x0b\x0c\r").translate(UPPER), set())
             if doc is None or len(owners) < 2 or min(owners) == doc:
                 kept.append(line)
-        out.append((doc or -1, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+        out.append((-1 if doc is None else doc, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return sorted(out)
 
 
 def check(spark, rows, parts=4):
     df = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, n_lines string").repartition(parts)
     found = line_dedup.dedup_lines(df, "doc_id", "text", digests=True).collect()
-    assert sorted((r.doc_id or -1, r.n_lines, r.n_dropped, r.kept_sha256) for r in found) == brute(rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in found) == brute(rows)
     texts = line_dedup.dedup_lines(df, "doc_id", "text")
     assert texts.columns == df.columns and {r.n_lines for r in texts.collect()} == {"extra"}
-    kept = sorted((r.doc_id or -1, hashlib.sha256(r.text.encode()).hexdigest()) for r in texts.collect())
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in texts.collect())
     assert kept == sorted((d, s) for d, _, _, s in brute(rows))
 
 
