@@ -8,9 +8,10 @@
 3. Similar documents are put in groups: in every bucket each document is compared with the bucket's lead only. Exact
    checks of those pairs give components; these and the leads, cut by size into groups of a bounded number of rows,
    are the partition.
-4. The matrix holds each group's union of prefix tokens. A query document counts its overlap with the unions, and
-   only groups that could hold a partner outside its component are opened: their members are checked exactly, many
-   at once. Inside a component nothing is left to find, because the result is components.
+4. The matrix holds each group's union of prefix tokens. The documents of a group are queried together: the overlap of
+   their union with another group's bounds what any of them shares with it. Only groups that could hold a partner
+   outside a document's component are opened, and their members checked exactly, many at once. Inside a component
+   nothing is left to find, because the result is components.
 
 No link between different sets is lost: a pair is either in one component after step 3 or meets in a bucket in step 4,
 where the bound is an upper one. Nothing is capped; the list of frequent tokens only moves work, and is bounded.
@@ -35,7 +36,7 @@ from flowspark.session import ship_package
 MEMORY_WORDS = 400_000
 #: A token is frequent from this many documents on; at most so many of the most frequent ones are listed.
 FREQUENT, MOST_FREQUENT = 64, 100_000
-GROUP_ROWS, QUERY_ROWS = 128, 64
+GROUP_ROWS = 128
 #: Prefix tokens have small hashes, so only hashes in this lower share of the range are counted.
 COUNTED_SHARE = 0.4
 
@@ -272,56 +273,55 @@ def _groups(star: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def opened_groups(buckets: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc, component, g) for queries and groups the matrix cannot rule out, and (g, doc, component) of all groups.
+    """(g, h) pairs of groups that the matrix cannot rule out, and (g, doc, component) of all groups.
 
-    A group is left out for documents whose component all its members are in.
+    The documents of g are the queries, all with one look at the matrix: what any of them shares with the union of h
+    lies in both unions. Pairs are looked at from one side; those inside a single component are left out.
     """
     entries = stored(buckets.join(sized(groups), "doc", "left").select(
         "token", "doc", "n", F.coalesce("component", "doc").alias("component"),
-        F.coalesce("grp", F.xxhash64("doc", F.lit("alone"))).alias("grp")), "entries")
+        F.coalesce("grp", F.xxhash64("doc", F.lit("alone"))).alias("g")), "entries")
     mixed = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     entries = stored(entries.join(mixed.select("token"), "token"), "mixed")
-    members = stored(entries.select("grp", "doc", "n", "component").distinct(), "members")
-    extent = members.groupBy("grp").agg(
-        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    matrix = stored(entries.select("token", "grp").distinct().join(extent, "grp").withColumnRenamed("grp", "g"), "matrix")
-    near = ((F.col("component") != F.col("lo")) | (F.col("component") != F.col("hi"))) & (
-        100 * F.col("most_n") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least_n"))
-    overlap = entries.join(matrix, "token").where(near).groupBy("doc", "n", "component", "g", "least_n", "most_n").agg(
-        F.count("*").alias("shared"))
-    # Over the sizes a member may have, fewest shared tokens are asked for at either end of the range.
-    low = F.greatest("least_n", F.ceil(F.lit(percent) * F.col("n") / 100).cast("int"))
-    high = F.least("most_n", F.floor(100 * F.col("n") / percent).cast("int"))
-    asked = F.least(least_shared(F.col("n"), low, percent), least_shared(F.col("n"), high, percent))
-    # A document alone in its own group has no partner there.
-    own = F.col("g") == F.xxhash64("doc", F.lit("alone"))
-    opened = overlap.where((F.col("shared") >= asked) & ~own).select("doc", "component", "g")
-    return stored(opened, "opened"), members.select(F.col("grp").alias("g"), "doc", "component")
+    members = stored(entries.select("g", "doc", "n", "component").distinct(), "members")
+    extent = members.groupBy("g").agg(F.count("*").alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"),
+                                      F.min("component").alias("lo"), F.max("component").alias("hi"))
+    matrix = stored(entries.select("token", "g").distinct().join(extent, "g"), "matrix")
+    names = ("g", "rows", "least", "most", "lo", "hi")
+    other = matrix.select("token", *[F.col(c).alias(f"{c}_") for c in names])
+    one = (F.col("lo") == F.col("hi")) & (F.col("lo_") == F.col("hi_")) & (F.col("lo") == F.col("lo_"))
+    near = ~one & (100 * F.col("most") >= percent * F.col("least_")) & (100 * F.col("most_") >= percent * F.col("least"))
+    met = matrix.join(other, "token").where(((F.col("g") < F.col("g_")) | ((F.col("g") == F.col("g_")) & (F.col("rows") > 1))) & near)
+    shared = met.groupBy("g", "g_", "least", "most", "least_", "most_").agg(F.count("*").alias("shared"))
+    # The least any two members may need, from the smallest and largest sizes that fit together.
+    smallest = [F.greatest(F.col(x), F.ceil(F.lit(percent) * F.col(y) / 100)) for x, y in (("least", "least_"), ("least_", "least"))]
+    largest = [F.least(F.col(x), F.floor(100 * F.col(y) / percent)) for x, y in (("most", "most_"), ("most_", "most"))]
+    needed = F.ceil(F.lit(percent) * (smallest[0] + smallest[1]) / (100 + percent) - 1e-9)
+    allowance = F.greatest(*[n - _prefix_size(n, percent) for n in largest])
+    opened = shared.where(F.col("shared") >= F.greatest(F.lit(1), needed - allowance)).select("g", F.col("g_").alias("h"))
+    return stored(opened, "opened"), members.select("g", "doc", "component")
 
 
 def links_in_groups(texts: DataFrame, opened: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): for every query and opened group, a link to each component in it that the query links with.
-
-    Queries of a group travel in parts of about ``QUERY_ROWS``, each meeting the group's members once.
-    """
-    inside = members.join(opened.select("g").distinct(), "g", "left_semi")
-    inside = stored(inside, "inside")
-    wanted = stored(opened.select("doc").union(inside.select("doc")).distinct().withColumnRenamed("doc", "b"), "wanted")
-    sets = texts.join(sized(wanted), F.col("doc") == F.col("b")).select("doc", "text").mapInArrow(
+    """(a, b): for every document of an opened pair of groups, a link to each other component that it has there."""
+    wanted = opened.select("g").union(opened.select("h")).distinct()
+    inside = stored(members.join(wanted, "g", "left_semi"), "inside")
+    docs = sized(stored(inside.select(F.col("doc").alias("b")).distinct(), "wanted"))
+    sets = texts.join(docs, F.col("doc") == F.col("b")).select("doc", "text").mapInArrow(
         _sets("set", size), "doc bigint, set binary").dropDuplicates(["doc"])
-    sets = stored(sets, "sets")
-    parts = stored(opened.groupBy("g").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("parts")), "parts")
-    asking = opened.join(sized(parts), "g").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
-    asking = asking.join(sets, "doc").groupBy("g", "part").agg(F.collect_list(F.struct("doc", "component", "set")).alias("asking"))
-    asked = inside.join(sets, "doc").groupBy("g").agg(F.collect_list(F.struct("doc", "component", "set")).alias("asked"))
+    whole = stored(inside.join(sets, "doc").groupBy("g").agg(
+        F.collect_list(F.struct("doc", "component", "set")).alias("held")), "groups")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column("asking"), batch.column("asked")):
-                a, b = _links_between(_unpacked(x.values), _unpacked(y.values), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return asking.join(asked, "g").select("asking", "asked").mapInArrow(run, "a bigint, b bigint").distinct()
+            found = [_links_between(_unpacked(x.values), _unpacked(y.values), percent)
+                     for x, y in zip(batch.column("asking"), batch.column("asked"))]
+            a, b = (np.concatenate([np.empty(0, np.int64), *side]) for side in ([f[0] for f in found], [f[1] for f in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    asking = opened.join(whole.withColumnRenamed("held", "asking"), "g").select("h", "asking")
+    asked = whole.select(F.col("g").alias("h"), F.col("held").alias("asked"))
+    return asking.join(asked, "h").select("asking", "asked").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:

@@ -77,7 +77,6 @@ def test_cases(spark):
 def test_many_copies_and_frequent_tokens(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 8)
     monkeypatch.setattr(jaccard, "GROUP_ROWS", 5)
-    monkeypatch.setattr(jaccard, "QUERY_ROWS", 3)
     draw = random.Random(2)
     base = [f"b{i}" for i in range(80)]
     rows = [(i, " ".join(base)) for i in range(60)]
