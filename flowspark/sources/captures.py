@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from flowspark.contracts import FRAME_SCHEMA
@@ -34,6 +35,7 @@ FILE_HEADER, RECORD_HEADER = 24, 16
 LARGEST_RECORD = 262_144
 SPLIT_BYTES = 256 << 20
 BATCH_FRAMES, READ_BYTES = 20_000, 4 << 20
+CAPTURE_SCHEMA = T.StructType([*FRAME_SCHEMA, T.StructField("problem", T.StringType())])
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
@@ -69,8 +71,22 @@ def file_problem(head: bytes) -> str | None:
     return None if linktype in LINK_HEADER_BYTES else f"unsupported link type {linktype}"
 
 
+def capture_name(root: str, path: str) -> str:
+    """A capture's id: its path under the folder that was read, so files of the same name stay apart."""
+    base = root.rstrip("/") + "/"
+    return path[len(base):] if path.startswith(base) else path.rsplit("/", 1)[-1]
+
+
+class Broken(Exception):
+    """A record that cannot be read; reading its file ends there."""
+
+    def __init__(self, offset: int, problem: str):
+        super().__init__(problem)
+        self.offset, self.problem = offset, problem
+
+
 def pcap_records(source: BinaryIO, begin: int, end: int, order: str, fraction: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(offset, time in µs, captured length, data) of the records starting in [begin, end)."""
+    """(offset, time in µs, captured length, data) of the records starting in [begin, end); Broken at a bad one."""
     source.seek(begin)
     offset, pending, header = begin, b"", struct.Struct(order + "IIII")
     while offset < end:
@@ -80,33 +96,35 @@ def pcap_records(source: BinaryIO, begin: int, end: int, order: str, fraction: i
         while offset < end and at + RECORD_HEADER <= len(pending):
             seconds, part, caplen, _ = header.unpack_from(pending, at)
             if caplen > LARGEST_RECORD:
-                return
+                raise Broken(offset, f"record of {caplen} bytes")
             stop = at + RECORD_HEADER + caplen
             if stop > len(pending):
                 break
             yield offset, seconds * 1_000_000 + part // fraction, caplen, pending[at + RECORD_HEADER:stop]
             offset, at = offset + RECORD_HEADER + caplen, stop
-        if at == 0:
-            return  # the last record is cut off
+        if at == 0 and offset < end:
+            raise Broken(offset, "record is cut off")
         pending = pending[at:]
 
 
 def pcapng_records(source: BinaryIO) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(offset, time in µs, link type, captured length, data) of a whole block-structured file."""
+    """(offset, time in µs, link type, captured length, data) of a whole block-structured file; Broken at a bad block."""
     offset, order, interfaces = 0, "<", []
     while True:
         source.seek(offset)
         head = source.read(12)
-        if len(head) < 12:
+        if not head:
             return
+        if len(head) < 12:
+            raise Broken(offset, "block is cut off")
         if head[:4] == PCAPNG_MAGIC:
             order, interfaces = ("<" if head[8:12] == b"\x4d\x3c\x2b\x1a" else ">"), []
         kind, size = struct.unpack_from(order + "II", head)
         if size < 12:
-            return
+            raise Broken(offset, f"block of {size} bytes")
         body = head[8:] + source.read(size - 12)
         if len(body) < size - 8:
-            return
+            raise Broken(offset, "block is cut off")
         body = body[: size - 12]
         if kind == INTERFACE:
             interfaces.append((struct.unpack_from(order + "H", body)[0], _ticks_per_second(body, order)))
@@ -134,9 +152,9 @@ def _ticks_per_second(body: bytes, order: str) -> int:
 
 
 class ByteRange(InputPartition):
-    def __init__(self, path: str, begin: int, end: int):
+    def __init__(self, path: str, begin: int, end: int, name: str):
         super().__init__((path, begin, end))
-        self.path, self.begin, self.end = path, begin, end
+        self.path, self.begin, self.end, self.name = path, begin, end, name
 
 
 class CaptureReader(DataSourceReader):
@@ -144,15 +162,18 @@ class CaptureReader(DataSourceReader):
         self.path, self.ranges = options["path"], json.loads(options.get("ranges", "null"))
 
     def partitions(self) -> list[ByteRange]:
-        if self.ranges is not None:
-            return [ByteRange(*r) for r in self.ranges]
-        return [ByteRange(path, FILE_HEADER, size) for path, size in list_captures(self.path)]
+        ranges = self.ranges
+        if ranges is None:
+            ranges = [[path, FILE_HEADER, size] for path, size in list_captures(self.path)]
+        return [ByteRange(*r, capture_name(self.path, r[0])) for r in ranges]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        name = partition.path.rsplit("/", 1)[-1]
+        name = partition.name
         with _open(partition.path) as source:
             head = source.read(FILE_HEADER)
-            if file_problem(head):
+            problem = file_problem(head)
+            if problem:
+                yield _frame_batch(name, [(0, None, None, None, None)], problem)
                 return
             if head[:4] == PCAPNG_MAGIC:
                 rows = pcapng_records(source)
@@ -162,33 +183,43 @@ class CaptureReader(DataSourceReader):
                 records = pcap_records(source, partition.begin, partition.end, order, fraction)
                 rows = ((o, t, linktype, n, data) for o, t, n, data in records)
             batch = []
-            for row in rows:
-                batch.append(row)
-                if len(batch) == BATCH_FRAMES:
-                    yield _frame_batch(name, batch)
-                    batch = []
+            broken = None
+            try:
+                for row in rows:
+                    batch.append(row)
+                    if len(batch) == BATCH_FRAMES:
+                        yield _frame_batch(name, batch)
+                        batch = []
+            except Broken as error:
+                broken = error
             if batch:
                 yield _frame_batch(name, batch)
+            if broken is not None:
+                yield _frame_batch(name, [(broken.offset, None, None, None, None)], broken.problem)
 
 
-def _frame_batch(name: str, rows: list[tuple]) -> pa.RecordBatch:
+def _frame_batch(name: str, rows: list[tuple], problem: str | None = None) -> pa.RecordBatch:
     offsets, times, links, lengths, data = zip(*rows)
     arrays = [
         pa.array([name] * len(rows)), pa.array(offsets, pa.int64()), pa.array(times, pa.int64()),
         pa.array(links, pa.int32()), pa.array(lengths, pa.int32()), pa.array(data, pa.binary()),
+        pa.array([problem] * len(rows), pa.string()),
     ]
-    return pa.RecordBatch.from_arrays(arrays, names=FRAME_SCHEMA.fieldNames())
+    return pa.RecordBatch.from_arrays(arrays, names=CAPTURE_SCHEMA.fieldNames())
 
 
 class CaptureSource(DataSource):
-    """``spark.read.format("packet_capture").load(folder)``; ``pkt_no`` is the record's byte offset."""
+    """``spark.read.format("packet_capture").load(folder)``; ``pkt_no`` is the record's byte offset.
+
+    A row with a ``problem`` stands for what could not be read from its offset on.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "packet_capture"
 
     def schema(self):
-        return FRAME_SCHEMA
+        return CAPTURE_SCHEMA
 
     def reader(self, schema) -> CaptureReader:
         return CaptureReader(dict(self.options))
@@ -276,30 +307,36 @@ def split_points(spark: SparkSession, files: list[tuple[str, int]], split_bytes:
     return ranges
 
 
-def read_frames(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """All frames of a folder of captures; ``capture_id`` is the file's name."""
+def read_captures(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """All frames of a folder of captures, and a row with a ``problem`` for each thing that could not be read.
+
+    ``capture_id`` is the file's path under the folder. Store this table to get frames and rejects from one pass.
+    """
     ship_package(spark)
     spark.dataSource.register(CaptureSource)
     ranges = split_points(spark, list_captures(path), split_bytes)
     return spark.read.format("packet_capture").option("ranges", json.dumps(ranges)).load(path)
 
 
+def frames_of(captures: DataFrame) -> DataFrame:
+    return captures.filter("problem is null").drop("problem")
+
+
+def rejects_of(captures: DataFrame) -> DataFrame:
+    """(path, offset, problem); what stands before the offset was read."""
+    return captures.filter("problem is not null").select(
+        F.col("capture_id").alias("path"), F.col("pkt_no").alias("offset"), "problem")
+
+
+def read_frames(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """All frames of a folder of captures; ``capture_id`` is the file's path under it."""
+    return frames_of(read_captures(spark, path, split_bytes))
+
+
 def read_packets(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     return decode_frames(read_frames(spark, path, split_bytes))
 
 
-def capture_rejects(spark: SparkSession, path: str) -> DataFrame:
-    """(path, problem) of the files that cannot be read; the other files are not affected by them."""
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            problems = []
-            for p in pdf["path"]:
-                with _open(p) as source:
-                    problems.append(file_problem(source.read(FILE_HEADER)))
-            yield pd.DataFrame({"path": pdf["path"], "problem": problems})
-
-    ship_package(spark)
-    files = spark.createDataFrame([(p,) for p, _ in list_captures(path)] or [("",)], "path string")
-    return files.filter("path <> ''").mapInPandas(probe, "path string, problem string").filter(
-        F.col("problem").isNotNull()
-    )
+def capture_rejects(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(path, offset, problem) of files, and ends of files, that cannot be read; the rest is not affected by them."""
+    return rejects_of(read_captures(spark, path, split_bytes))

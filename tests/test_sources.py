@@ -8,7 +8,9 @@ from packets import ACK, SYN
 from flowspark.contracts import FEATURE_COUNT, FLOW_COLUMNS
 from flowspark.operators.flows import packets_to_flows
 from flowspark.sources import sinks
-from flowspark.sources.captures import capture_rejects, chain_exits, list_captures, read_frames, read_packets, split_points
+from flowspark.sources.captures import (
+    capture_rejects, chain_exits, frames_of, list_captures, read_captures, read_frames, read_packets, rejects_of, split_points,
+)
 from flowspark.sources.messages import decode_json, read_labelled_csv, read_topic, read_vectors
 
 
@@ -82,6 +84,31 @@ def test_bad_files_are_set_aside(spark, tmp_path):
     assert problems == {"noise.pcap": "not a capture file", "wifi.pcap": "unsupported link type 105"}
 
 
+def test_same_names_in_two_folders_stay_apart(spark, tmp_path):
+    for folder in ("day1", "day2"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "1.pcap").write_bytes(pcap([(i, 2, ethernet(ip(6, tcp(), 40))) for i in range(5)]))
+    rows = read_packets(spark, str(tmp_path)).collect()
+    assert sorted({r["capture_id"] for r in rows}) == ["day1/1.pcap", "day2/1.pcap"] and len(rows) == 10
+
+
+def test_broken_ends_are_reported(spark, tmp_path):
+    record = ethernet(ip(6, tcp(), 40))
+    whole = pcap([(i, 2, record) for i in range(3)])
+    second = 24 + 16 + len(record)
+    (tmp_path / "cut.pcap").write_bytes(whole[:-1])
+    (tmp_path / "long.pcap").write_bytes(whole[:second + 8] + (262_145).to_bytes(4, "little") + whole[second + 12:])
+    (tmp_path / "next.pcapng").write_bytes(pcapng([(7, record)])[:-3])
+    captures = read_captures(spark, str(tmp_path)).persist()
+    rejects = {(r["path"], r["problem"]): r["offset"] for r in rejects_of(captures).collect()}
+    assert rejects[("cut.pcap", "record is cut off")] == 24 + 2 * (16 + len(record))
+    assert rejects[("long.pcap", "record of 262145 bytes")] == second
+    assert [k[1] for k in rejects if k[0] == "next.pcapng"] == ["block is cut off"] and len(rejects) == 3
+    counts = {r["capture_id"]: r["count"] for r in frames_of(captures).groupBy("capture_id").count().collect()}
+    assert counts == {"cut.pcap": 2, "long.pcap": 1}
+    captures.unpersist()
+
+
 def test_splits_start_at_true_records(spark, tmp_path):
     """A capture that carries another capture as payload cannot fool the split points."""
     nested = pcap([(9, 9, ethernet(ip(6, tcp(), 40))) for _ in range(20)])[24:]
