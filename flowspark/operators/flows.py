@@ -12,7 +12,8 @@ from flowspark.functions.net import (
 from flowspark.operators.history import add_history
 from flowspark.operators.ordinal import with_ordinal
 from flowspark.operators.segments import (
-    ACCEPTED, DEFAULT_HOT_ROWS, LARGEST, SMALLEST, SUMS, UNIONS, partial_flows,
+    ACCEPTED, DEFAULT_HOT_ROWS, LARGEST, SMALLEST, SUMS, SWEEP_EVERY_PACKETS, UNIONS, in_capture_order, partial_flows,
+    sweep_times,
 )
 
 OPEN_AT_END_US = 1 << 62
@@ -107,6 +108,20 @@ def flow_measures(aggregates: DataFrame, idle: str = "gap", idle_us: int = IDLE_
     )
 
 
+def emitted_by_sweeps(measures: DataFrame, sweeps: DataFrame, idle_us: int = IDLE_TIMEOUT_US) -> DataFrame:
+    """``emit_us`` of flows that never close: the first sweep that finds them idle, else the end of the capture.
+
+    A capture's sweep times are one array of a number for every so many packets; a flow takes the first past its limit.
+    """
+    times = sweeps.groupBy("capture_id").agg(F.sort_array(F.collect_list("now_us")).alias("_sweeps"))
+    limit = F.col("ltime_us") + idle_us
+    evicted = F.filter(F.coalesce("_sweeps", F.array().cast("array<bigint>")), lambda t: t > limit)
+    waits = F.col("close_us").isNull()
+    return measures.join(times, "capture_id", "left").withColumn(
+        "emit_us", F.when(waits & (F.size(evicted) > 0), F.get(evicted, F.lit(0))).otherwise(F.col("emit_us"))
+    ).drop("_sweeps")
+
+
 def emission_order(measures: DataFrame) -> DataFrame:
     """``emit_no``: place of the flow among its capture's flows, in the order they end."""
     return with_ordinal(measures, ["capture_id"], ORDER_COLUMNS, "emit_no")
@@ -132,9 +147,16 @@ def flow_records(numbered: DataFrame, payload: DataFrame | None = None) -> DataF
 
 
 def packets_to_flows(packets: DataFrame, idle: str = "gap", idle_us: int = IDLE_TIMEOUT_US,
-                     hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
-    """Captured packets to finished flow records, all captures of the table in one job."""
-    aggregates = merged_flows(partial_flows(packets, idle, idle_us, hot_rows))
+                     hot_rows: int | None = DEFAULT_HOT_ROWS, every: int = SWEEP_EVERY_PACKETS) -> DataFrame:
+    """Captured packets to finished flow records, all captures of the table in one job.
+
+    With ``idle="sweep"`` a sweep follows every ``every`` packets of a capture.
+    """
+    if idle == "sweep":
+        packets = in_capture_order(packets)
+    aggregates = merged_flows(partial_flows(packets, idle, idle_us, hot_rows, every))
     measures = flow_measures(aggregates, idle, idle_us)
+    if idle == "sweep":
+        measures = emitted_by_sweeps(measures, sweep_times(packets, every), idle_us)
     spent = {*aggregates.columns} - {*FLOW_COLUMNS, *LINEAGE_COLUMNS, *ORDER_COLUMNS}
     return flow_records(emission_order(measures.drop(*spent)))

@@ -192,11 +192,22 @@ def keyed_packets(packets: DataFrame) -> DataFrame:
     return keyed.withColumn("key_hash", F.xxhash64(*TASK_KEYS)).select(*SORT_KEYS, "head", "body", *clock)
 
 
-def with_clock(packets: DataFrame, idle: str) -> DataFrame:
+def sweep_times(numbered: DataFrame, every: int) -> DataFrame:
+    """(capture_id, sweep_no, now_us): a sweep after every ``every`` packets, and the newest time seen by then."""
+    return numbered.filter((F.col("nth") + 1) % every == 0).select(
+        "capture_id", F.expr(f"(nth + 1) div {every}").alias("sweep_no"), F.col("ts_us").alias("now_us"))
+
+
+def in_capture_order(packets: DataFrame) -> DataFrame:
+    """Add ``nth``, the packet's place in its capture."""
+    return with_ordinal(packets, ["capture_id"], ["ts_us", "pkt_no"], "nth")
+
+
+def with_clock(packets: DataFrame, idle: str, every: int = SWEEP_EVERY_PACKETS) -> DataFrame:
     """Add ``now_us``, the time a slot's idleness is judged against.
 
     ``gap``: the packet's own time, so nothing is added. ``none``: never. ``sweep``: the newest time seen at the last sweep,
-    one per 500,000 packets of a capture.
+    one per ``every`` packets of a capture. Packets that have ``nth`` already are not numbered again.
     """
     if idle == "gap":
         return packets
@@ -204,21 +215,19 @@ def with_clock(packets: DataFrame, idle: str) -> DataFrame:
         return packets.withColumn("now_us", F.lit(None).cast("bigint"))
     if idle != "sweep":
         raise ValueError(f"unknown idle policy {idle!r}")
-    numbered = with_ordinal(packets, ["capture_id"], ["ts_us", "pkt_no"], "nth")
-    numbered = numbered.withColumn("sweep_no", F.floor((F.col("nth") + 1) / SWEEP_EVERY_PACKETS))
-    sweeps = numbered.filter(
-        ((F.col("nth") + 1) % SWEEP_EVERY_PACKETS == 0)
-    ).select("capture_id", "sweep_no", F.col("ts_us").alias("now_us"))
+    numbered = packets if "nth" in packets.columns else in_capture_order(packets)
+    sweeps = sweep_times(numbered, every)
+    numbered = numbered.withColumn("sweep_no", F.expr(f"(nth + 1) div {every}"))
     return numbered.join(sweeps, ["capture_id", "sweep_no"], "left").drop("nth", "sweep_no")
 
 
 def _walked(packets: DataFrame, idle: str, idle_us: int, hot_rows: int | None, finish, needed: list[str],
-            added: list[T.StructField]) -> DataFrame:
+            added: list[T.StructField], every: int = SWEEP_EVERY_PACKETS) -> DataFrame:
     """Run the walk; ``finish`` makes the rows that leave a task: the ``needed`` columns and ``added`` ones."""
     from flowspark.operators.hot_segments import label_hot, split_hot
 
     ship_package(packets.sparkSession)
-    keyed = keyed_packets(with_clock(packets, idle))
+    keyed = keyed_packets(with_clock(packets, idle, every))
     cold, hot = (keyed, None) if hot_rows is None else split_hot(keyed, hot_rows)
     schema = T.StructType([*[keyed.schema[c] for c in needed], *added])
     ordered = cold.repartition("key_hash").sortWithinPartitions(*SORT_KEYS)
@@ -230,7 +239,7 @@ def _walked(packets: DataFrame, idle: str, idle_us: int, hot_rows: int | None, f
 
 
 def segment_packets(packets: DataFrame, idle: str = "gap", idle_us: int = IDLE_TIMEOUT_US,
-                    hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+                    hot_rows: int | None = DEFAULT_HOT_ROWS, every: int = SWEEP_EVERY_PACKETS) -> DataFrame:
     """Label every packet with its flow (``flow_seq`` within the 5-tuple) and its verdict.
 
     Columns: the 5-tuple key, the packet's order and header fields, and ``flow_seq, verdict`` (0 accepted,
@@ -245,7 +254,7 @@ def segment_packets(packets: DataFrame, idle: str = "gap", idle_us: int = IDLE_T
             [*[batch.column(c) for c in needed], *labels.values()], names=[*needed, *labels]
         )
 
-    walked = _walked(packets, idle, idle_us, hot_rows, keep, needed, _LABEL_FIELDS)
+    walked = _walked(packets, idle, idle_us, hot_rows, keep, needed, _LABEL_FIELDS, every)
     fields = {**unpacked_key(), **unpacked("head", HEAD_FIELDS), **unpacked("body", BODY_FIELDS)}
     kinds = {"from_a": "boolean", "ip_total_len": "bigint"}
     fields.update({c: fields[c].cast(kinds.get(c, "int")) for c in ("from_a", "tcp_flags", "ttl", "tcp_window")})
@@ -253,13 +262,13 @@ def segment_packets(packets: DataFrame, idle: str = "gap", idle_us: int = IDLE_T
 
 
 def partial_flows(packets: DataFrame, idle: str = "gap", idle_us: int = IDLE_TIMEOUT_US,
-                  hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+                  hot_rows: int | None = DEFAULT_HOT_ROWS, every: int = SWEEP_EVERY_PACKETS) -> DataFrame:
     """Like ``segment_packets``, with the packets of a batch already combined to one row per flow.
 
     Rows of one flow from different batches are still to be merged; sums, extremes and bit unions do that.
     """
     measures = [T.StructField(c, T.LongType()) for c in ("flow_seq", *PARTIAL_MEASURES)]
-    walked = _walked(packets, idle, idle_us, hot_rows, combine_flows, TASK_KEYS, measures)
+    walked = _walked(packets, idle, idle_us, hot_rows, combine_flows, TASK_KEYS, measures, every)
     return walked.withColumns(unpacked_key()).select(*KEY_COLUMNS, "flow_seq", *PARTIAL_MEASURES)
 
 

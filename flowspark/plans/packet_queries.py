@@ -82,10 +82,13 @@ def walk_totals_no_idle(spark, folder):
     return _verdict_totals(segment_packets(views.packets(spark, folder), idle="none"))
 
 
-@query(VERDICTS, over_labelled(_VERDICT_SQL, None))
+SWEEP_PACKETS = 1_000  # so that sweeps occur in small tables as well
+
+
+@query(VERDICTS, over_labelled(_VERDICT_SQL, every=SWEEP_PACKETS))
 def walk_totals_sweep(spark, folder):
-    """Sweeps come every 500,000 packets of a capture; below that the result is that of no idle rule."""
-    return _verdict_totals(segment_packets(views.packets(spark, folder), idle="sweep"))
+    """Idleness looked at once per 1,000 packets of a capture."""
+    return _verdict_totals(segment_packets(views.packets(spark, folder), idle="sweep", every=SWEEP_PACKETS))
 
 
 @query("capture_id string, ts_us bigint, pkt_no bigint, flow_seq bigint, verdict int, closes boolean", over_labelled(
@@ -162,6 +165,18 @@ def flow_record_no_idle(spark, folder):
     return packets_to_flows(views.packets(spark, folder), idle="none")
 
 
+@query(_record_columns(), over_flows(f"select {FLOW_RECORD} from flows", every=SWEEP_PACKETS))
+def flow_record_sweep(spark, folder):
+    """Idle flows leave at the sweep that finds them, which also sets the order the history counts follow."""
+    return packets_to_flows(views.packets(spark, folder), idle="sweep", every=SWEEP_PACKETS)
+
+
+@query(_record_columns(), over_flows(f"select {FLOW_RECORD} from flows"))
+def flow_record_hot(spark, folder):
+    """The record with 5-tuples of more than 20 packets cut into stretches that are walked side by side."""
+    return packets_to_flows(views.packets(spark, folder), hot_rows=20)
+
+
 @query("capture_id string, src_ip bigint, sport int, dst_ip bigint, dsport int, flow_seq bigint, proto int, "
        "s_flags int, d_flags int, src_is_a boolean", over_flows("""
 select capture_id, src src_ip, sport, dst dst_ip, dsport, flow_seq, proto, s_flags, d_flags, src_is_a

@@ -63,12 +63,18 @@ def test_no_idle_policy_never_splits(spark):
     assert {f for _, f, _ in labels(spark, [packet(0), packet(10 * MIN)], idle="none")} == {0}
 
 
-def test_sweep_splits_only_after_a_sweep(spark, monkeypatch):
-    monkeypatch.setattr(S, "SWEEP_EVERY_PACKETS", 3)
+def test_sweep_splits_only_after_a_sweep(spark):
     rows = [packet(0), packet(1, (1, 1), (2, 2)), packet(2 * MIN, (1, 1), (2, 2)), packet(2 * MIN + 1)]
-    got = labels(spark, rows, idle="sweep")
+    got = labels(spark, rows, idle="sweep", every=3)
     assert [f for _, f, _ in got] == [0, 0, 1, 1]
-    assert [f for _, f, _ in labels(spark, rows[:2] + rows[3:], idle="sweep")] == [0, 0, 1]
+    assert [f for _, f, _ in labels(spark, rows[:2] + rows[3:], idle="sweep", every=3)] == [0, 0, 1]
+
+
+def test_swept_flows_leave_before_later_ones(spark):
+    rows = [packet(0), packet(1, (1, 1), (2, 2)), packet(2 * MIN, (3, 3), (4, 4)), packet(2 * MIN + 1, (5, 5), (6, 6), flags=RST),
+            packet(9 * MIN, (7, 7), (8, 8))]
+    df = packets_to_flows(table(spark, rows), "sweep", hot_rows=None, every=3).orderBy("emit_no")
+    assert [r["stime_us"] for r in df.collect()] == [0, 1, 2 * MIN + 1, 2 * MIN, 9 * MIN]
 
 
 def test_sequence_wrap_and_old_segments(spark):
