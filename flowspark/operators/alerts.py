@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from flowspark.contracts import ALERT_TTL_US, DEFAULT_THRESHOLD, ENDPOINTS, FEATURE_COUNT
 from flowspark.functions.encode import endpoints
 from flowspark.operators.cooldown import with_cooldown
+from flowspark.operators.ordinal import with_ordinal
 
 ALERT_KEY = ["srcip", "dstip", "proto"]
 MAX_BROADCAST_SUBSCRIBERS = 100_000
@@ -59,20 +60,25 @@ def alert_stream(scored: DataFrame) -> DataFrame:
     return alerts.select(*endpoints(scored), value("attack_prob", "float"), value("latency_us", "bigint"))
 
 
+def reaches(prob: Column, floor: Column) -> Column:
+    """Whether a score reaches a subscriber's floor. A score or floor that is no number reaches nothing."""
+    return (prob >= floor) & ~F.isnan(prob) & ~F.isnan(floor)
+
+
 def filter_subscriber(alerts: DataFrame, min_prob: float = 0.0) -> DataFrame:
-    return alerts.filter(F.col("attack_prob") >= F.lit(min_prob).cast("float"))
+    return alerts.filter(reaches(F.col("attack_prob"), F.lit(min_prob).cast("float")))
 
 
 def deliver(alerts: DataFrame, subscribers: DataFrame) -> DataFrame:
     """Every subscriber gets every alert that reaches its ``min_prob``.
 
     The comparison is no equality, so the subscribers are broadcast, but only after they have been counted;
-    more than ``MAX_BROADCAST_SUBSCRIBERS`` of them are joined on probability buckets instead.
+    more than ``MAX_BROADCAST_SUBSCRIBERS`` of them are joined chunk by chunk instead.
     """
     wanted = with_floor(subscribers)
     if wanted.limit(MAX_BROADCAST_SUBSCRIBERS + 1).count() > MAX_BROADCAST_SUBSCRIBERS:
-        return _deliver_by_bucket(alerts, wanted)
-    return alerts.join(F.broadcast(wanted), alerts["attack_prob"] >= wanted["min_prob"])
+        return _deliver_by_chunk(alerts, wanted)
+    return alerts.join(F.broadcast(wanted), reaches(alerts["attack_prob"], wanted["min_prob"]))
 
 
 def with_floor(subscribers: DataFrame) -> DataFrame:
@@ -81,18 +87,21 @@ def with_floor(subscribers: DataFrame) -> DataFrame:
     return subscribers.select("client_id", floor.alias("min_prob"))
 
 
-def _deliver_by_bucket(alerts: DataFrame, wanted: DataFrame, buckets: int = 1000) -> DataFrame:
-    """Delivery as an equi-join for many subscribers: an alert visits the probability buckets below it.
+def _deliver_by_chunk(alerts: DataFrame, wanted: DataFrame, chunk_rows: int = 10_000, salts: int = 16) -> DataFrame:
+    """Delivery as an equi-join for many subscribers.
 
-    A subscriber sits in the bucket of its ``min_prob``; the exact comparison is kept beside the equality.
+    Subscribers are numbered by their floor and cut into chunks of ``chunk_rows``. An alert visits the chunks whose
+    lowest floor it reaches; the exact comparison is kept beside the equality. Nearly every alert visits the first
+    chunk, so alerts are dealt over ``salts`` copies of each chunk.
     """
-    bucket = lambda c: F.least(F.greatest(F.floor(c.cast("double") * buckets), F.lit(0)), F.lit(buckets))
-    spread = alerts.withColumn(
-        "_bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), bucket(F.col("attack_prob"))))
-    )
-    placed = wanted.withColumn("_bucket", bucket(F.col("min_prob")))
-    joined = spread.join(placed, "_bucket")
-    return joined.filter(F.col("attack_prob") >= F.col("min_prob")).drop("_bucket")
+    numbered = with_ordinal(wanted.filter(~F.isnan("min_prob")), [], ["min_prob", "client_id"], "_n")
+    placed = numbered.withColumn("_chunk", F.expr(f"_n div {chunk_rows}")).drop("_n")
+    floors = placed.groupBy("_chunk").agg(F.min("min_prob").alias("_floor"))
+    spread = alerts.join(F.broadcast(floors), reaches(alerts["attack_prob"], floors["_floor"])).drop("_floor")
+    spread = spread.withColumn("_salt", F.pmod(F.xxhash64(*alerts.columns), F.lit(salts)))
+    copies = placed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    joined = spread.join(copies, ["_chunk", "_salt"])
+    return joined.filter(reaches(F.col("attack_prob"), F.col("min_prob"))).drop("_chunk", "_salt")
 
 
 def audit_lines(scored: DataFrame, ts_ms: Column | None = None) -> DataFrame:

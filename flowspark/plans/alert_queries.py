@@ -193,7 +193,21 @@ def subscriber_fan_out(spark, folder):
 def subscriber_fan_out_equi(spark, folder):
     """Delivery for too many subscribers to broadcast."""
     alerts = A.alert_stream(flagged_detections(spark, folder))
-    delivered = A._deliver_by_bucket(alerts, views.subscribers(spark, folder))
+    delivered = A._deliver_by_chunk(alerts, views.subscribers(spark, folder))
+    return delivered.groupBy("client_id").agg(F.count("*").alias("alerts"), F.min("attack_prob").alias("lowest"))
+
+
+@query("client_id bigint, alerts bigint, lowest float", over_flagged("""
+select c_custkey client_id, count(*) alerts, min(attack_prob) lowest
+from flagged join customer on attack_prob >= cast(c_custkey % 1000 / 1000.0 as float)
+where alert group by 1"""))
+def customer_fan_out(spark, folder):
+    """Every customer subscribes with a floor of its own; chunks of 500 subscribers."""
+    alerts = A.alert_stream(flagged_detections(spark, folder))
+    people = views.read_table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("bigint").alias("client_id"),
+        (F.col("c_custkey") % 1000 / F.lit(1000.0)).cast("float").alias("min_prob"))
+    delivered = A._deliver_by_chunk(alerts, A.with_floor(people), chunk_rows=500)
     return delivered.groupBy("client_id").agg(F.count("*").alias("alerts"), F.min("attack_prob").alias("lowest"))
 
 

@@ -152,4 +152,12 @@ def test_deliveries_agree(spark):
     wanted = spark.createDataFrame([(1, 0.0), (2, 0.5), (3, 1.0), (4, None)], "client_id bigint, min_prob float")
     count = lambda df: sorted((r["client_id"], r["count"]) for r in df.groupBy("client_id").count().collect())
     assert count(A.deliver(alerts, wanted)) == [(1, 50), (2, 25), (3, 1), (4, 50)]
-    assert count(A._deliver_by_bucket(alerts, A.with_floor(wanted))) == [(1, 50), (2, 25), (3, 1), (4, 50)]
+    assert count(A._deliver_by_chunk(alerts, A.with_floor(wanted), 2, 3)) == [(1, 50), (2, 25), (3, 1), (4, 50)]
+
+
+def test_scores_that_are_no_numbers_are_not_delivered(spark):
+    alerts = spark.createDataFrame([(float("nan"),), (0.75,)], "attack_prob float")
+    wanted = spark.createDataFrame([(1, 0.5), (2, float("nan"))], "client_id bigint, min_prob float")
+    for delivered in (A.deliver(alerts, wanted), A._deliver_by_chunk(alerts, A.with_floor(wanted))):
+        assert [(r["client_id"], r["attack_prob"]) for r in delivered.collect()] == [(1, 0.75)]
+    assert A.filter_subscriber(alerts, 0.0).count() == 1
