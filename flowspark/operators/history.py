@@ -18,6 +18,8 @@ def add_history(flows: DataFrame, order: str = "emit_no", window: int = HISTORY_
     One shuffle on (group, block) serves all seven windows, and no task ever holds more than a block,
     whatever the size of a capture or of one address.
     """
+    if block < window:
+        raise ValueError("a block must hold a whole window")
     n, reach = F.col(order), window - 1
     own = F.expr(f"{order} div {block}")
     near_end = n % block >= block - reach

@@ -47,6 +47,8 @@ NEURAL_SPACE = [{
                            (128, 64, 32), (256, 128, 64), (256, 128, 64, 32)],
     "learning_rate_init": [1e-2, 1e-3, 5e-4, 3e-4, 1e-4], "batch_size": [32, 64, 128, 256],
 }]
+#: Settings of the study that Spark's learners have no counterpart for. Candidates that differ only in them are one.
+WITHOUT_EFFECT = {"batch_size", "alpha", "reg_alpha", "reg_lambda", "min_samples_split", "activation"}
 MAX_TREE_DEPTH = 30  # what Spark's trees allow; an unlimited depth becomes this
 
 
@@ -93,23 +95,35 @@ def random_forest(settings: dict = FOREST_BEST, weight: str | None = None):
     return model.setWeightCol(weight) if weight else model
 
 
-def logistic(rows: int, settings: dict = LOGISTIC_BEST, weight: str | None = None):
-    """Logistic regression; a penalty weight C over ``rows`` rows is Spark's regParam 1 / (C rows)."""
+def total_weight(df: DataFrame, weight: str | None = None) -> float:
+    """The sum of the rows' weights, or their number without any."""
+    return float(df.agg(F.count("*") if weight is None else F.sum(weight)).first()[0])
+
+
+def logistic(total: float, settings: dict = LOGISTIC_BEST, weight: str | None = None):
+    """Logistic regression; a penalty weight C over rows that weigh ``total`` is Spark's regParam 1 / (C total).
+
+    Without weights ``total`` is the number of rows; with them their sum, as Spark divides the loss by it.
+    """
     s = {**LOGISTIC_BEST, **settings}
     mix = {"l1": 1.0, "l2": 0.0}.get(s["penalty"], s.get("l1_ratio"))
     model = LogisticRegression(
-        regParam=1.0 / (s["C"] * rows), elasticNetParam=mix, maxIter=s["max_iter"], standardization=False
+        regParam=1.0 / (s["C"] * total), elasticNetParam=mix, maxIter=s["max_iter"], standardization=False
     )
     return model.setWeightCol(weight) if weight else model
 
 
 def neural_net(inputs: int, settings: dict = NEURAL_BEST):
-    """A multilayer perceptron with the study's layers; Spark's has sigmoid units and full batches."""
+    """A multilayer perceptron with the study's layers; Spark's has sigmoid units and full batches.
+
+    A learning rate asks for gradient descent, the only solver that takes steps of a given size; without one the
+    quasi-Newton solver runs. Full batches leave nothing for ``batch_size`` to set.
+    """
     s = {**NEURAL_BEST, **settings}
+    rate = s.get("learning_rate_init")
+    options = {} if rate is None else {"solver": "gd", "stepSize": rate}
     return MultilayerPerceptronClassifier(
-        layers=[inputs, *s["hidden_layer_sizes"], 2], maxIter=s.get("max_iter", 300), blockSize=s["batch_size"],
-        stepSize=s.get("learning_rate_init", 0.03), seed=SEED,
-    )
+        layers=[inputs, *s["hidden_layer_sizes"], 2], maxIter=s.get("max_iter", 300), seed=SEED, **options)
 
 
 def loss_per_round(model, df: DataFrame) -> DataFrame:
@@ -129,8 +143,9 @@ def with_folds(df: DataFrame, k: int, row_id: str = "id", seed: int = SEED) -> D
 
 
 def draw(spaces: list[dict], n: int, seed: int = SEED) -> list[dict]:
-    """``n`` seeded draws, each from one of the spaces."""
+    """``n`` seeded draws, each from one of the spaces; settings without effect are left out of them."""
     rng, out = random.Random(seed), []
+    spaces = [{k: v for k, v in space.items() if k not in WITHOUT_EFFECT} for space in spaces]
     for _ in range(n):
         settings = {}
         for name, options in rng.choice(spaces).items():
@@ -174,7 +189,7 @@ def search(df: DataFrame, build, candidates: list[dict], folds: int = 3, metric:
            parallelism: int = 4) -> list[dict]:
     """Cross-validate every candidate; results best first, with ``rank``, mean, deviation and train mean.
 
-    ``build(settings, rows)`` makes an estimator; a ``class_weight`` of ``"balanced"`` is applied here.
+    ``build(settings, total)`` gets the sum of the weights and makes an estimator; a ``class_weight`` of ``"balanced"`` is applied here.
     Fits run side by side, each of them distributed. Folds are cached once for all candidates.
     """
     dealt = with_balanced_weight(with_folds(df, folds), "_balanced").persist()
@@ -184,8 +199,9 @@ def search(df: DataFrame, build, candidates: list[dict], folds: int = 3, metric:
         candidate, fold = job
         settings = candidates[candidate]
         train, held_out = dealt.filter(F.col("fold") != fold), dealt.filter(F.col("fold") == fold)
-        estimator = build(settings, train.count())
-        if settings.get("class_weight") == "balanced":
+        balanced = settings.get("class_weight") == "balanced"
+        estimator = build(settings, total_weight(train, "_balanced" if balanced else None))
+        if balanced:
             estimator.setWeightCol("_balanced")
         model = estimator.fit(train)
         return score.evaluate(model.transform(held_out)), score.evaluate(model.transform(train))

@@ -48,7 +48,7 @@ def fitted(kind, spark, folder):
         builders = {
             "boost": lambda: M.boosted_trees(SMALL_BOOST, weight="weight"),
             "forest": lambda: M.random_forest(SMALL_FOREST, weight="weight"),
-            "linear": lambda: M.logistic(df.count(), SMALL_LINEAR, weight="weight"),
+            "linear": lambda: M.logistic(M.total_weight(df, "weight"), SMALL_LINEAR, weight="weight"),
             "net": lambda: M.neural_net(len(INPUTS), {"hidden_layer_sizes": (8,), "max_iter": 15}),
         }
         _models[key] = builders[kind]().fit(df)
