@@ -45,6 +45,22 @@ def null_gate(spark, folder):
     return df.agg(F.count_if(prep.any_null(df)).alias("nulls"), F.count("*").alias("rows"))
 
 
+@query("nulls bigint, rows bigint, refused boolean", f"""
+select count(*) filter (id % 11 = 0 or id % 13 = 0) nulls, count(*) "rows", count(*) filter (id % 11 = 0 or id % 13 = 0) > 0 refused
+from ({LABELLED}) l""")
+def null_gate_refuses(spark, folder):
+    """Missing numbers and missing names are both counted, and the gate does not let the table pass."""
+    df = views.labelled(spark, folder)
+    holes = df.withColumns({"dur": F.when(F.col("id") % 11 != 0, F.col("dur")),
+                            "proto": F.when(F.col("id") % 13 != 0, F.col("proto"))})
+    try:
+        refused = prep.require_no_nulls(holes) is None
+    except ValueError:
+        refused = True
+    return holes.agg(F.count_if(prep.any_null(holes)).alias("nulls"), F.count("*").alias("rows"),
+                     F.lit(refused).alias("refused"))
+
+
 @query("id bigint, proto string, service string, state string, dur double, smean double, spkts double, label int",
        KEPT)
 def exact_dedup(spark, folder):
@@ -181,9 +197,19 @@ def class_balance(spark, folder):
     return eda.value_counts(views.labelled(spark, folder), "label")
 
 
-def _corr_rows(columns=NUMERIC):
+def _corr_rows(columns=NUMERIC, source=LABELLED):
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    return " union all ".join(f"select '{a}' a, '{b}' b, corr({a}, {b}) r from ({LABELLED}) l" for a, b in pairs)
+    return " union all ".join(f"select '{a}' a, '{b}' b, corr({a}, {b}) r from ({source}) l" for a, b in pairs)
+
+
+#: Two columns that follow others, so that strong correlations occur; the first of them with either sign.
+RELATED = sorted([*NUMERIC, "dload", "spare"])
+RELATED_SQL = f"select *, sload * 2 + spkts dload, 1000 - rate spare from ({LABELLED}) l0"
+
+
+def related(spark, folder):
+    return views.labelled(spark, folder).withColumns(
+        {"dload": F.col("sload") * 2 + F.col("spkts"), "spare": 1000 - F.col("rate")})
 
 
 @query("a string, b string, r double6", _corr_rows())
@@ -192,18 +218,18 @@ def correlation_pairs(spark, folder):
 
 
 @query("a string, b string, strength double", f"""
-select a, b, round(abs(r), 3) strength from ({_corr_rows()}) c where abs(r) > 0.3""")
+select a, b, round(abs(r), 3) strength from ({_corr_rows(RELATED, RELATED_SQL)}) c where abs(r) > 0.3""")
 def high_correlations(spark, folder):
-    return eda.high_correlations(views.labelled(spark, folder), NUMERIC, above=0.3)
+    return eda.high_correlations(related(spark, folder), RELATED, above=0.3)
 
 
 @query("a string, b string, r double6", f"""
-with c as ({_corr_rows()}), f as (select distinct unnest([a, b]) f from c where abs(r) > 0.3)
+with c as ({_corr_rows(RELATED, RELATED_SQL)}), f as (select distinct unnest([a, b]) f from c where abs(r) > 0.3)
 select a, b, r from c where a in (select f from f) and b in (select f from f)
 union all select b, a, r from c where a in (select f from f) and b in (select f from f)
 union all select f, f, 1.0 from f""")
 def correlation_submatrix(spark, folder):
-    return eda.correlation_submatrix(views.labelled(spark, folder), NUMERIC, above=0.3)
+    return eda.correlation_submatrix(related(spark, folder), RELATED, above=0.3)
 
 
 @query("column string, kind string, distinct_values bigint", " union all ".join(

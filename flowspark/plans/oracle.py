@@ -13,7 +13,7 @@ SCORES = views.SCORES_SQL
 LABELLED = views.LABELLED_SQL
 
 
-def walk_ctes(idle_us: int | None = 60_000_000, every: int | None = None) -> str:
+def walk_ctes(idle_us: int | None = 60_000_000, every: int | None = None, packets: str = PACKETS) -> str:
     """CTEs ``numbered`` (packets by 5-tuple) and ``labelled`` (with flow, verdict, loss and close).
 
     With ``every``, idleness is looked at once per so many packets of a capture only.
@@ -29,7 +29,7 @@ numbered as materialized (
     select *, row_number() over (partition by capture_id order by ts_us, pkt_no) place,
       case when a then src_ip else dst_ip end ip_a, case when a then src_port else dst_port end port_a,
       case when a then dst_ip else src_ip end ip_b, case when a then dst_port else src_port end port_b
-    from (select *, src_ip < dst_ip or (src_ip = dst_ip and src_port <= dst_port) a from ({PACKETS}) p0) p1
+    from (select *, src_ip < dst_ip or (src_ip = dst_ip and src_port <= dst_port) a from ({packets}) p0) p1
   ) p2),
 walked as (
   select distinct kid, cast(0 as bigint) rn, 0 phase, cast(-1 as bigint) flow, 0 fins, cast(0 as bigint) acc,
@@ -79,14 +79,14 @@ labelled as materialized (
   from numbered n join walked w on n.kid = w.kid and n.rn = w.rn)"""
 
 
-def flow_ctes(idle_us: int | None = 60_000_000, every: int | None = None) -> str:
+def flow_ctes(idle_us: int | None = 60_000_000, every: int | None = None, packets: str = PACKETS) -> str:
     """CTEs up to ``flows``: every flow's endpoints, measures, labels and emission number."""
     emit = "ltime_us + 60000000" if idle_us is not None else "4611686018427387904"
     if every is not None:
         emit = (f"coalesce((select min(now_us) from sweeps w where w.capture_id = summed.capture_id "
                 f"and w.now_us > summed.ltime_us + {idle_us}), 4611686018427387904)")
     ratio = lambda a, b: f"case when {b} > 0 then {a} / cast({b} as double) else 0.0 end"
-    return walk_ctes(idle_us, every) + f""",
+    return walk_ctes(idle_us, every, packets) + f""",
 sweeps as materialized (select distinct capture_id, now_us from numbered where now_us is not null),
 accepted as materialized (
   select *, lag(ts_us) over (partition by kid, flow_seq, s order by rn) before,
@@ -176,8 +176,8 @@ def over_labelled(select: str, idle_us: int | None = 60_000_000, every: int | No
     return f"with recursive {walk_ctes(idle_us, every)} {select}"
 
 
-def over_flows(select: str, idle_us: int | None = 60_000_000, every: int | None = None) -> str:
-    return f"with recursive {flow_ctes(idle_us, every)} {select}"
+def over_flows(select: str, idle_us: int | None = 60_000_000, every: int | None = None, packets: str = PACKETS) -> str:
+    return f"with recursive {flow_ctes(idle_us, every, packets)} {select}"
 
 
 FLOW_RECORD = ", ".join(FLOW_COLUMNS)

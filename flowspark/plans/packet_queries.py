@@ -171,6 +171,32 @@ def flow_record_sweep(spark, folder):
     return packets_to_flows(views.packets(spark, folder), idle="sweep", every=SWEEP_PACKETS)
 
 
+#: Packets whose two ends are one, handshakes that lack their second packet, and low and high lifetimes.
+_ODD_SQL = f"""
+select * replace (case when pkt_no % 40 = 0 then src_ip else dst_ip end as dst_ip,
+  case when pkt_no % 40 = 0 then src_port else dst_port end as dst_port,
+  case when src_ip % 3 = 0 then 31 when src_ip % 3 = 1 then 255 else ttl end as ttl)
+from ({PACKETS}) odd where not (tcp_flags = 18 and src_port % 2 = 0)"""
+
+
+def _odd_packets(spark, folder):
+    p = views.packets(spark, folder).filter("not (tcp_flags = 18 and src_port % 2 = 0)")
+    land = F.col("pkt_no") % 40 == 0
+    return p.withColumns({
+        "dst_ip": F.when(land, F.col("src_ip")).otherwise(F.col("dst_ip")),
+        "dst_port": F.when(land, F.col("src_port")).otherwise(F.col("dst_port")),
+        "ttl": F.expr("case when src_ip % 3 = 0 then 31 when src_ip % 3 = 1 then 255 else ttl end").cast("int"),
+    })
+
+
+@query(f"{IDENTITY}, is_sm_ips_ports int, state string, ct_state_ttl int, sttl int, dttl int", over_flows(
+    "select capture_id, srcip, sport, dstip, dsport, proto, flow_seq, is_sm_ips_ports, state, ct_state_ttl, sttl, dttl from flows",
+    packets=_ODD_SQL))
+def odd_flows(spark, folder):
+    """Land packets, unanswered handshakes and unusual lifetimes."""
+    return packets_to_flows(_odd_packets(spark, folder))
+
+
 @query(_record_columns(), over_flows(f"select {FLOW_RECORD} from flows"))
 def flow_record_hot(spark, folder):
     """The record with 5-tuples of more than 20 packets cut into stretches that are walked side by side."""
