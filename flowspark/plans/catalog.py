@@ -3,6 +3,7 @@
 from flowspark.plans import (  # noqa: F401
     alert_queries,
     evaluation_queries,
+    file_queries,
     model_queries,
     offline_queries,
     operation_queries,
