@@ -1,8 +1,8 @@
 """Packets to flow segments: duplicate copies, closes, reopens, idle splits and retransmissions.
 
-Every packet depends on the state its predecessors left in the 5-tuple's slot, so this is the one step
-that walks rows. Spark groups and sorts the packets by 5-tuple; the walk keeps a few scalars, streams
-over Arrow batches and adds columns to them. A 5-tuple with more than ``hot_rows`` packets is cut into
+Every packet depends on the state its predecessors left in the 5-tuple's slot. Spark groups and sorts the
+packets by 5-tuple; whole 5-tuples of a batch are labelled as columns (:mod:`flowspark.operators.runs`), and
+only those with odd cases are walked row by row, which keeps a few scalars. A 5-tuple with more than ``hot_rows`` packets is cut into
 several tasks (see :mod:`flowspark.operators.hot_segments`), so no task holds a whole hot key.
 """
 
@@ -21,6 +21,7 @@ from flowspark.contracts import (
 from flowspark.functions.net import canonical_key
 from flowspark.operators.cooldown import run_starts
 from flowspark.operators.ordinal import with_ordinal
+from flowspark.operators.runs import Labels, label_runs
 from flowspark.session import ship_package
 
 ACCEPTED, DUPLICATE, STRAGGLER = 0, 1, 2
@@ -128,31 +129,58 @@ def packet_fields(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return out
 
 
-def walk_rows(batch: pa.RecordBatch, fields: dict[str, np.ndarray]) -> list[tuple]:
-    values = {c: v.tolist() for c, v in fields.items()}
-    policy = "now_us" in batch.schema.names
-    values["now_us"] = batch.column("now_us").to_pylist() if policy else values["ts_us"]
+def walk_rows(batch: pa.RecordBatch, fields: dict[str, np.ndarray], begin: int = 0, end: int | None = None) -> list[tuple]:
+    """Rows [begin, end) of a batch as the walk takes them."""
+    at = slice(begin, end)
+    values = {c: v[at].tolist() for c, v in fields.items()}
+    if "now_us" in batch.schema.names:
+        values["now_us"] = batch.column("now_us").slice(begin, None if end is None else end - begin).to_pylist()
+    else:
+        values["now_us"] = values["ts_us"]
     return list(zip(*[values[c] for c in WALK_COLUMNS]))
 
 
 def label_partition(batches: Iterator[pa.RecordBatch], idle_us: int, finish, slot: Slot | None = None,
                     previous: tuple | None = None) -> Iterator[pa.RecordBatch]:
-    """Walk a sorted partition and turn each batch, its fields and its labels into a result batch.
+    """Label a sorted partition and turn each batch, its fields and its labels into a result batch.
 
-    ``slot`` and ``previous`` continue a 5-tuple begun in another task.
+    5-tuples that lie whole inside a batch are labelled as columns where they can be; the one that goes on from the
+    batch before, the last one, and those with odd cases are walked. ``slot`` and ``previous`` continue a 5-tuple begun
+    in another task.
     """
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
         starts, previous = key_starts(batch, previous)
-        fields = packet_fields(batch)
-        rows, labels, at = walk_rows(batch, fields), [], 0
-        for start in [*starts, batch.num_rows]:
-            if start > at:
-                labels.extend(walk(slot, rows[at:start], idle_us))
-            slot, at = (Slot() if start < batch.num_rows else slot), start
-        columns = [pa.array(values, type=t) for values, t in zip(zip(*labels), LABEL_TYPES.values())]
-        yield finish(batch, fields, dict(zip(LABEL_TYPES, columns)))
+        fields, labels = packet_fields(batch), Labels(n)
+        walked = [(0, starts[0] if starts else n)]
+        if len(starts) > 1:
+            begin, end = starts[0], starts[-1]
+            whole = np.array(starts[:-1])
+            now = None
+            if "now_us" in batch.schema.names:
+                now = batch.column("now_us").slice(begin, end - begin).fill_null(np.iinfo(np.int64).min).to_numpy(
+                    zero_copy_only=False)
+            odd = label_runs(labels, begin, {c: v[begin:end] for c, v in fields.items()}, now, whole - begin, idle_us)
+            walked += [(starts[i], starts[i + 1]) for i in odd.tolist()]
+        walked += [(starts[-1], n)] if starts else []
+        for begin, end in walked:
+            if begin == end:
+                continue
+            if begin or starts and starts[0] == 0:
+                slot = Slot()
+            labels.put_walked(begin, list(walk(slot, walk_rows(batch, fields, begin, end), idle_us)))
+        yield finish(batch, fields, label_arrays(labels))
+
+
+def label_arrays(labels: Labels) -> dict[str, pa.Array]:
+    return {
+        "flow_seq": pa.array(labels.flow), "verdict": pa.array(labels.verdict),
+        "from_src": pa.array(labels.src, mask=~labels.has_src), "lost": pa.array(labels.lost),
+        "gap_us": pa.array(labels.gap, mask=~labels.has_gap), "jitter_us": pa.array(labels.jitter, mask=~labels.has_jitter),
+        "after_synack": pa.array(labels.after), "closes": pa.array(labels.closes),
+    }
 
 
 def packed(fields: dict[str, tuple[int, int]]) -> Column:
