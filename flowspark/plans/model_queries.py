@@ -87,6 +87,24 @@ def class_weights(spark, folder):
     return weighted.groupBy("label", "weight").agg(F.count("*").alias("n"))
 
 
+@query("label double, weight double6, n bigint", over_flows(f"""
+select "label", case when "label" = 1 then (sum(n) over () - n) / cast(n as double) else 1.0 end weight, n
+from (select "label", count(*) n from {_LABELS} group by 1) c"""))
+def attack_weights(spark, folder):
+    """Attacks weigh as much as all other flows together."""
+    weighted = M.with_attack_weight(training_table(spark, folder))
+    return weighted.groupBy("label", "weight").agg(F.count("*").alias("n"))
+
+
+@query("features int, total double6, ordered boolean", f"select {len(INPUTS)} features, 1.0 total, true ordered")
+def importance_totals(spark, folder):
+    """Every input has an importance, they add up to one, and the ranking lists them largest first."""
+    ranked = X.importances(spark, fitted("forest", spark, folder), INPUTS, top=len(INPUTS))
+    values = F.collect_list("importance")
+    return ranked.agg(F.count("*").alias("features"), F.sum("importance").alias("total"),
+                      (values == F.sort_array(values, asc=False)).alias("ordered"))
+
+
 @query("round int, loss double6", None)
 def boosting_rounds(spark, folder):
     df = training_table(spark, folder).withColumn("held_out", F.pmod(F.xxhash64("id"), F.lit(5)) == 0)
