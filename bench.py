@@ -17,8 +17,10 @@ from flowspark.operators.scoring import score_vectors  # noqa: E402
 from flowspark.operators.segments import segment_packets  # noqa: E402
 from flowspark.operators.training import random_forest  # noqa: E402
 from flowspark.plans.inputs import EVENT_TTL_US, scored_detections  # noqa: E402
+from flowspark.plans.stream_queries import write_captures  # noqa: E402
 from flowspark.session import cut_lineage, local_session  # noqa: E402
 from flowspark.sources import views  # noqa: E402
+from flowspark.sources.captures import read_packets  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -44,6 +46,8 @@ def main():
     pairs = cut_lineage(views.scores(spark, FOLDER))
     from pyspark.ml.functions import array_to_vector
 
+    captures = write_captures(spark, FOLDER)
+
     attacker = F.startswith("srcip", F.lit("175.45.176.")).cast("double").alias("label")
     model = random_forest({"n_estimators": 20, "max_depth": 4}).fit(
         vectors.select(array_to_vector("features").alias("features"), attacker)
@@ -55,6 +59,7 @@ def main():
         "emission_order": lambda: emission_order(measures),
         "history_windows": lambda: history.add_history(numbered),
         "packets_to_flows": lambda: packets_to_flows(packets),
+        "capture_to_flows": lambda: packets_to_flows(read_packets(spark, captures)),
         "feature_encoding": lambda: encode_flows(flows),
         "scoring": lambda: score_vectors(vectors, model),
         "alert_dedup": lambda: alerts.flag_alerts(scored, order=["event_id"], ttl_us=EVENT_TTL_US),
@@ -65,7 +70,7 @@ def main():
         "traffic_breakdown": lambda: operations.traffic_breakdown(packets_to_flows(views.packets(spark, FOLDER))),
     }
     rows = {"frame_decode": frames, "packet_walk": packets, "flow_aggregation": labelled, "emission_order": measures,
-            "history_windows": numbered, "packets_to_flows": packets, "feature_encoding": flows, "scoring": vectors,
+            "history_windows": numbered, "packets_to_flows": packets, "capture_to_flows": frames, "feature_encoding": flows, "scoring": vectors,
             "alert_dedup": scored, "threshold_sweep": pairs, "ranking_metrics": pairs, "sliding_rates": scored}
     counts = {name: df.count() for name, df in rows.items()}
     times = {}

@@ -20,7 +20,7 @@ from flowspark.plans.packet_queries import PACKET_COLUMNS
 from flowspark.plans.registry import query
 from flowspark.session import scratch_folder, ship_package
 from flowspark.sources import views
-from flowspark.sources.captures import capture_rejects, read_frames, read_packets
+from flowspark.sources.captures import capture_rejects, place, read_frames, read_packets
 from flowspark.sources.sinks import publish
 from flowspark.sources.messages import decode_json
 from flowspark.streaming import jobs as J
@@ -94,21 +94,22 @@ def topic_round_trip(spark, folder):
 
 
 def _write_captures(frames: DataFrame, folder: str) -> None:
-    """Frames as capture files, one per task and link type, and one file that is no capture."""
-    import os
+    """Frames as capture files, one per task and link type, and one file that is no capture.
 
-    local = folder.removeprefix("file:")
+    Files go through the file system of the folder's URI; a task that is run again overwrites its own.
+    """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        os.makedirs(local, exist_ok=True)
+        filesystem, inner = place(folder)
+        filesystem.create_dir(inner, recursive=True)
         files = {}
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                name = f"{local}/{r.capture_id}-{r.linktype}-{TaskContext.get().partitionId()}.pcap"
+                name = f"{inner}/{r.capture_id}-{r.linktype}-{TaskContext.get().partitionId()}.pcap"
                 if name not in files:
-                    files[name] = open(name, "wb")
+                    files[name] = filesystem.open_output_stream(name)
                     files[name].write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, r.linktype))
                 data = bytes(r.data)
                 files[name].write(struct.pack("<IIII", r.ts_us // 1_000_000, r.ts_us % 1_000_000, len(data), len(data)))
@@ -116,7 +117,7 @@ def _write_captures(frames: DataFrame, folder: str) -> None:
         for f in files.values():
             f.close()
         if TaskContext.get().partitionId() == 0:
-            with open(f"{local}/notes.txt", "wb") as f:
+            with filesystem.open_output_stream(f"{inner}/notes.txt") as f:
                 f.write(b"not packets")
         yield pd.DataFrame({"files": [len(files)]})
 
@@ -124,7 +125,8 @@ def _write_captures(frames: DataFrame, folder: str) -> None:
     frames.mapInPandas(write, "files int").count()
 
 
-def _capture_folder(spark, folder):
+def write_captures(spark, folder):
+    """The frame view as capture files in a new folder; returns the folder."""
     target = scratch_folder(spark, "captures")
     _write_captures(views.frames(spark, folder), target)
     return target
@@ -136,7 +138,7 @@ _NO_NUMBER = PACKET_COLUMNS.replace("pkt_no bigint, ", "")
 @query(_NO_NUMBER, f"select {', '.join(c.split()[0] for c in _NO_NUMBER.split(', '))} from ({PACKETS}) p")
 def capture_files(spark, folder):
     """Capture files read back, the large ones in byte ranges of 256 KiB."""
-    packets = read_packets(spark, _capture_folder(spark, folder), split_bytes=1 << 18)
+    packets = read_packets(spark, write_captures(spark, folder), split_bytes=1 << 18)
     return packets.withColumn("capture_id", F.substring_index("capture_id", "-", 1))
 
 
@@ -144,7 +146,7 @@ def capture_files(spark, folder):
 select 'notes.txt' path, 'not a capture file' problem,
   (select count(*) + count(*) filter (pkt_no % 7 in (1, 2)) from ({PACKETS}) p) frames""")
 def capture_rejects_query(spark, folder):
-    target = _capture_folder(spark, folder)
+    target = write_captures(spark, folder)
     total = read_frames(spark, target).agg(F.count("*").alias("frames"))
     bad = capture_rejects(spark, target)
     return bad.join(total, F.lit(True)).select(F.substring_index("path", "/", -1).alias("path"), "problem", "frames")

@@ -38,21 +38,21 @@ BATCH_FRAMES, READ_BYTES = 20_000, 4 << 20
 CAPTURE_SCHEMA = T.StructType([*FRAME_SCHEMA, T.StructField("problem", T.StringType())])
 
 
-def _place(path: str) -> tuple[fs.FileSystem, str]:
+def place(path: str) -> tuple[fs.FileSystem, str]:
     """File system and inner path of a URI or a plain local path."""
     if "://" in path:
         return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path.removeprefix("file:")
+    return fs.LocalFileSystem(), path.removeprefix("file:")  # Spark writes file:/x as well as file:///x
 
 
 def _open(path: str) -> BinaryIO:
-    filesystem, inner = _place(path)
+    filesystem, inner = place(path)
     return filesystem.open_input_file(inner)
 
 
 def list_captures(path: str) -> list[tuple[str, int]]:
     """(path, bytes) of the capture files in a folder, or of the one file named."""
-    filesystem, inner = _place(path)
+    filesystem, inner = place(path)
     info = filesystem.get_file_info(inner)
     if info.type == fs.FileType.File:
         return [(path, info.size)]
