@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from flowspark.operators.ordinal import with_ordinal
 
 SEED = 42
+TASK_ROWS = 16_384
 
 # The best settings of the comparison study.
 BOOSTED_BEST = {"n_estimators": 1000, "max_depth": 4, "learning_rate": 0.01, "subsample": 0.7,
@@ -142,6 +143,11 @@ def with_folds(df: DataFrame, k: int, row_id: str = "id", seed: int = SEED) -> D
     return dealt.withColumn("fold", (F.col("_place") % k).cast("int")).drop("_order", "_place")
 
 
+def packed(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` in tasks of about ``rows`` rows: a fit runs thousands of jobs, so small tables must not have many tasks."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def draw(spaces: list[dict], n: int, seed: int = SEED) -> list[dict]:
     """``n`` seeded draws, each from one of the spaces; settings without effect are left out of them."""
     rng, out = random.Random(seed), []
@@ -192,7 +198,7 @@ def search(df: DataFrame, build, candidates: list[dict], folds: int = 3, metric:
     ``build(settings, total)`` gets the sum of the weights and makes an estimator; a ``class_weight`` of ``"balanced"`` is applied here.
     Fits run side by side, each of them distributed. Folds are cached once for all candidates.
     """
-    dealt = with_balanced_weight(with_folds(df, folds), "_balanced").persist()
+    dealt = packed(with_balanced_weight(with_folds(df, folds), "_balanced")).persist()
     score = evaluator(metric)
 
     def run(job: tuple[int, int]) -> tuple[float, float]:
