@@ -2,8 +2,9 @@
 
 The text view sees which hashed words occur, and how they are written (marks around words, capitals, how
 often words recur). The metadata view sees language, source and size. Both are logistic models, fitted on a bounded sample of labelled rows over those
-features that the sample's labels depend on, each weighed by its log odds; over a few rounds each hands its confident labels for a bounded pool of unlabelled documents to the
-other. A last, small logistic model over the two views' log odds, fitted on labelled rows kept aside, calibrates and
+features that the sample's labels depend on, each weighed by its log odds; over a few rounds each scores all
+unlabelled documents and hands every confident label to the other. Both kinds weigh the same in a fit, and within a
+kind the labels handed over weigh at most as much as the given ones. A last, small logistic model over the two views' log odds, fitted on labelled rows kept aside, calibrates and
 combines them. A threshold that lets through all but a small share of the good rows kept aside decides.
 
 A document counts as good when its quality label is 1 and it is not marked toxic.
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 from flowspark.llm.tables import stored
 from flowspark.session import ship_package
 
-#: Bounds: labelled rows used for fitting, unlabelled rows in the pool, and the share kept aside for calibration.
-FIT_ROWS, POOL_ROWS, ASIDE = 12_000, 6_000, 0.25
-ROUNDS, CONFIDENT, HANDED_OVER = 2, 0.98, 1_500
+#: Labelled rows used for fitting, and the share of them kept aside for calibration. Unlabelled rows have no bound.
+FIT_ROWS, ASIDE = 12_000, 0.25
+ROUNDS, CONFIDENT = 2, 0.98
 TEXT_BITS, META_BITS = 19, 10
 GOOD_LOST, SIGNIFICANT = 0.003, 12.0
 MEMORY_WORDS = 300_000
@@ -149,7 +150,7 @@ def _vector(place: np.ndarray, odds: np.ndarray):
 
 
 def _sample(labels: DataFrame, docs: DataFrame, key: str, good: str, bad: str) -> tuple[DataFrame, DataFrame]:
-    """Bounded samples of ids: labelled (doc, label, aside) and unlabelled (doc). Chosen by hash, so at random."""
+    """A bounded sample of labelled ids (doc, label, aside), chosen by hash, so at random; and all ids with a label."""
     clean = labels.where(F.col(f"`{key}`").isNotNull() & F.col(good).isNotNull()).groupBy(
         F.col(f"`{key}`").cast("long").alias("doc")).agg(
         (F.min(good).cast("int") - F.coalesce(F.max(bad), F.lit(0)).cast("int")).alias("v"))
@@ -157,55 +158,67 @@ def _sample(labels: DataFrame, docs: DataFrame, key: str, good: str, bad: str) -
     ids = docs.select(F.col(f"`{key}`").cast("long").alias("doc")).where("doc is not null").distinct()
     fit = clean.join(ids, "doc", "left_semi").orderBy("h", "doc").limit(FIT_ROWS)
     fit = fit.withColumn("aside", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1000)) < int(1000 * ASIDE)).drop("h")
-    pool = ids.join(clean, "doc", "left_anti").select("doc", F.xxhash64("doc").alias("h")).orderBy("h", "doc").limit(POOL_ROWS)
-    return fit, pool.select("doc")
+    return fit, clean.select("doc")
+
+
+def _weights(labelled: dict[float, int], given: dict[float, int]) -> tuple[dict, dict]:
+    """Row weights by kind, of labelled rows and of those handed over."""
+    share = {k: min(1.0, n / given[k]) if given.get(k) else 1.0 for k, n in labelled.items()}
+    own = {k: 0.5 * sum(labelled.values()) / (n + share[k] * given.get(k, 0)) for k, n in labelled.items()}
+    return own, {k: own[k] * share[k] for k in own}
+
+
+def _weighed(rows: DataFrame, weights: dict[float, float]) -> DataFrame:
+    return rows.withColumn("w", F.when(F.col("label") == 1, weights[1.0]).otherwise(weights[0.0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, meta: tuple[str, str, str], good: str = "quality",
         bad: str = "toxic") -> Models | None:
     """Fit both views; None for an empty document table."""
     ship_package(docs.sparkSession)
-    labelled, pool = _sample(labels, docs, key, good, bad)
-    wanted = stored(labelled.unionByName(pool.withColumns(
-        {"label": F.lit(None).cast("double"), "aside": F.lit(False)})).dropDuplicates(["doc"]), "sample")
-    # At most FIT_ROWS + POOL_ROWS ids, so they can be sent to every task.
+    labelled, with_label = _sample(labels, docs, key, good, bad)
+    wanted = stored(labelled, "sample")
+    # At most FIT_ROWS ids, so they can be sent to every task.
     chosen = docs.join(F.broadcast(wanted.select("doc")), F.col(f"`{key}`").cast("long") == F.col("doc"), "left_semi")
     numbered = _feature_rows(chosen, key, text, meta).dropDuplicates(["doc"]).join(F.broadcast(wanted), "doc")
     numbered = stored(numbered.coalesce(8), "sample")
     counts = {(r["label"], r["aside"]): r["n"]
               for r in numbered.groupBy("label", "aside").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    if not counts and docs.isEmpty():
         return None
     if any(not counts.get((label, aside)) for label in (0.0, 1.0) for aside in (False, True)):
         raise ValueError("labels of both kinds are needed")
-    train = numbered.where("label is not null and not aside")
+    train = numbered.where("not aside")
     views = {"text": _informative(train, "words", TEXT_BITS, counts[1.0, False], counts[0.0, False]),
              "meta": _informative(train, "extra", META_BITS, counts[1.0, False], counts[0.0, False])}
-    rows = stored(numbered.select("doc", "label", "aside", _vector(*views["text"])("words").alias("text"),
-                                  _vector(*views["meta"])("extra").alias("meta")), "features")
-
-    known = rows.where("label is not null and not aside")
-    unknown = rows.where("label is null")
-    share = counts[1.0, False] / (counts[1.0, False] + counts[0.0, False])
+    vectors = [_vector(*views["text"])("words").alias("text"), _vector(*views["meta"])("extra").alias("meta")]
+    rows = stored(numbered.select("label", "aside", *vectors), "features")
+    # Features first: they are far smaller than the texts, which must not be dealt out to find labelled ids.
+    every = stored(_feature_rows(docs, key, text, meta).select("doc", *vectors), "features")
+    unknown = stored(every.where("doc is not null").join(with_label, "doc", "left_anti").unionByName(
+        every.where("doc is null")).drop("doc"), "unlabelled")
+
+    known = rows.where("not aside")
+    labelled_counts = {label: counts[label, False] for label in (0.0, 1.0)}
     told = {"text": None, "meta": None}
     for round_ in range(ROUNDS + 1):
         models = {}
         for view in ("text", "meta"):
-            train = known.select("label", view)
-            if told[view] is not None:
-                train = train.union(unknown.join(F.broadcast(told[view]), "doc").select("given", view))
-            # Both kinds weigh the same, or the rarer one would be given up.
-            weighted = train.withColumn("w", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+            given = {} if told[view] is None else {
+                r["label"]: r["n"] for r in told[view].groupBy("label").agg(F.count("*").alias("n")).collect()}
+            own, handed = _weights(labelled_counts, given)
+            train = _weighed(known.select("label", view), own)
+            if given:
+                train = train.union(_weighed(told[view].select("label", view), handed))
             models[view] = LogisticRegression(
                 featuresCol=view, labelCol="label", weightCol="w", maxIter=60, regParam=1e-3,
-                standardization=False).fit(weighted)
+                standardization=False).fit(train)
         if round_ < ROUNDS:
             for view, other in (("text", "meta"), ("meta", "text")):
-                sure = models[view].transform(unknown).select(
-                    "doc", F.col("prediction").alias("given"), F.array_max(vector_to_array(F.col("probability"))).alias("p"))
-                told[other] = stored(sure.where(F.col("p") >= CONFIDENT).orderBy(F.desc("p"), "doc").limit(
-                    HANDED_OVER).select("doc", "given"), "handed")
-    return _combined(rows.where("aside and label is not null"), models, views)
+                p = F.array_max(vector_to_array(F.col("probability")))
+                told[other] = models[view].transform(unknown).where(p >= CONFIDENT).select(
+                    F.col("prediction").alias("label"), other)
+    return _combined(rows.where("aside"), models, views)
 
 
 def _combined(aside: DataFrame, models: dict, views: dict) -> Models:
