@@ -56,7 +56,12 @@ def list_captures(path: str) -> list[tuple[str, int]]:
     info = filesystem.get_file_info(inner)
     if info.type == fs.FileType.File:
         return [(path, info.size)]
-    prefix = path[: len(path) - len(inner)] if "://" in path and path.endswith(inner) else ""
+    prefix = f"{path.split('://')[0]}://" if "://" in path else ""
+    if prefix and place(prefix + inner)[1] != inner:  # file systems whose inner paths leave out more than the scheme
+        stem = path.rstrip("/")
+        if not stem.endswith(inner.rstrip("/")):
+            raise ValueError(f"cannot name the files of {path}")
+        prefix = stem[: len(stem) - len(inner.rstrip("/"))]
     found = filesystem.get_file_info(fs.FileSelector(inner, recursive=True))
     return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File)
 
@@ -73,8 +78,12 @@ def file_problem(head: bytes) -> str | None:
 
 def capture_name(root: str, path: str) -> str:
     """A capture's id: its path under the folder that was read, so files of the same name stay apart."""
-    base = root.rstrip("/") + "/"
-    return path[len(base):] if path.startswith(base) else path.rsplit("/", 1)[-1]
+    top, inner = (place(p)[1].rstrip("/") for p in (root, path))
+    if inner == top:  # one file was named
+        return inner.rsplit("/", 1)[-1]
+    if not inner.startswith(top + "/"):
+        raise ValueError(f"{path} is not under {root}")
+    return inner[len(top) + 1:]
 
 
 class Broken(Exception):
