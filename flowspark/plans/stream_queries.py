@@ -28,12 +28,14 @@ from flowspark.streaming import jobs as J
 END_US = 4_000_000_000_000_000
 
 
-def drained(df: DataFrame, make: Callable[[DataFrame], DataFrame], later: list[DataFrame]) -> DataFrame:
-    """Everything a stream over ``df`` gives, restarted once per row of ``later``."""
+def drained(df: DataFrame, make: Callable[[DataFrame], DataFrame], later: list[DataFrame],
+            batches: int | None = None) -> DataFrame:
+    """Everything a stream over ``df`` gives, restarted once per row of ``later``; ``batches`` deals ``df`` out at random."""
     spark = df.sparkSession
     folder, out, checkpoint = (scratch_folder(spark, n) for n in ("arrivals", "results", "progress"))
-    df.write.parquet(folder)
-    stream = spark.readStream.schema(df.schema).parquet(folder)
+    (df if batches is None else df.repartition(batches)).write.parquet(folder)
+    reader = spark.readStream.schema(df.schema)
+    stream = (reader if batches is None else reader.option("maxFilesPerTrigger", 1)).parquet(folder)
     J.run_to_table(make(stream), out, checkpoint)
     for rows in later:
         rows.write.mode("append").parquet(folder)
@@ -64,9 +66,14 @@ def stream_flows(spark, folder):
        over_flows(f"select capture_id, emit_no, {', '.join(HISTORY_COUNTS)} from flows"))
 def stream_history(spark, folder):
     finished = flows(spark, folder).select(
-        "capture_id", "emit_no", "srcip", "dstip", "sport", "dsport", "service", "stime_us"
+        "capture_id", "emit_no", "srcip", "dstip", "sport", "dsport", "service", "stime_us",
+        ((F.col("emit_no") + 1) * 1000).alias("emit_us"),  # the record has no emission time: a flow a millisecond
+        # from 1 on, as Spark takes time 0 to be late from the start
     )
-    return drained(finished, lambda s: J.stream_history(s, "emit_no"), [])
+    end = finished.limit(1).withColumn("capture_id", F.lit("end"))
+    later = [end.withColumn("emit_us", F.lit(END_US * k).cast("bigint")) for k in (1, 2)]
+    counted = drained(finished, lambda s: J.stream_history(s, "emit_no", delay="3660 days"), later, batches=4)
+    return counted.filter("capture_id <> 'end'")
 
 
 @query("event_id bigint, label int, alert boolean", over_flagged("select event_id, label, alert from flagged"))

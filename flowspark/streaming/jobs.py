@@ -124,31 +124,51 @@ def stream_flow_aggregates(packets: DataFrame, delay: str = "10 seconds",
     )
 
 
-def stream_history(flows: DataFrame, order: str = "emit_us") -> DataFrame:
+def stream_history(flows: DataFrame, order: str = "emit_us", delay: str | None = None,
+                   time: str = "emit_us") -> DataFrame:
     """History counts of a flow stream: a ring of the last 100 flows per capture.
 
+    With a ``delay``, flows wait until the watermark of ``time`` has passed them and are counted by ``order``, which
+    has to follow ``time``; so arrival order within ``delay`` does not matter, and later flows must move the
+    watermark. Without one, flows are counted as they arrive, sorted within a micro-batch only: counts are those
+    of the batch job only if no flow comes in a later batch than one it precedes.
+
     The ring is one small state per capture, so captures run side by side but a capture's flows follow
-    each other, as the definition has it.
+    each other in one task.
     """
     ship_package(flows.sparkSession)
     needed = ["srcip", "dstip", "sport", "dsport", "service"]
+    columns = flows.columns
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flows.schema)
+    ordered = list(dict.fromkeys([order, "stime_us", "srcip", "sport", "dstip", "dsport"]))
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring = pickle.loads(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values([order, "stime_us", "srcip", "sport", "dstip", "dsport"])
-        counts = {name: [] for name in HISTORY_COUNTS}
-        for flow in rows[needed].to_dict("records"):
-            ring = [*ring, flow][-HISTORY_FLOWS:]
+        ring, waiting = pickle.loads(state.get[0]) if state.exists else ([], [])
+        if not state.hasTimedOut:
+            for pdf in frames:
+                waiting.extend(pdf[columns].to_dict("records"))
+        waiting.sort(key=lambda r: tuple((r[c] is not None, r[c]) for c in ordered))
+        if delay is None:
+            ready, waiting = waiting, []
+        else:
+            limit = state.getCurrentWatermarkMs() * 1000
+            ready, waiting = [r for r in waiting if r[time] < limit], [r for r in waiting if r[time] >= limit]
+        for flow in ready:
+            ring = [*ring, {c: flow[c] for c in needed}][-HISTORY_FLOWS:]
             for name, keys in HISTORY_COUNTS.items():
-                counts[name].append(sum(all(o[k] == flow[k] for k in keys) for o in ring))
-        state.update((pickle.dumps(ring),))
-        yield rows.assign(**counts)
+                flow[name] = sum(all(o[k] == flow[k] for k in keys) for o in ring)
+        state.update((pickle.dumps((ring, waiting)),))
+        if waiting:
+            state.setTimeoutTimestamp(max(min(r[time] for r in waiting) // 1000 + 1, limit // 1000 + 1))
+        if ready:
+            yield pd.DataFrame(ready, columns=[*columns, *HISTORY_COUNTS], dtype=object)
 
     out = fields + ", " + ", ".join(f"{c} int" for c in HISTORY_COUNTS)
-    return flows.groupBy("capture_id").applyInPandasWithState(
-        advance, out, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+    timed, timeout = flows, GroupStateTimeout.NoTimeout
+    if delay is not None:
+        timed = flows.withColumn("_ts", F.timestamp_micros(time)).withWatermark("_ts", delay)
+        timeout = GroupStateTimeout.EventTimeTimeout
+    return timed.groupBy("capture_id").applyInPandasWithState(advance, out, STATE_SCHEMA, "append", timeout)
 
 
 def stream_alerts(scored: DataFrame, delay: str = "10 seconds", ttl_us: int = ALERT_TTL_US) -> DataFrame:
