@@ -1,10 +1,16 @@
-"""The queries ``op1`` to ``op10`` and the SQL that checks them."""
+"""The queries ``op1`` to ``op13`` and the SQL that checks them."""
+
+import zlib
+from collections.abc import Iterator
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import bpe, jaccard, line_dedup, packing, quality_classifier, quality_rules, sharding, topk, url_filter, warc
+from flowspark.llm import (
+    bpe, jaccard, line_dedup, packing, periodic_runs, quality_classifier, quality_rules, sharding, spelling, suffix_dedup, topk,
+    url_filter, warc,
+)
 from flowspark.llm.tables import table
 
 QUERIES = {}
@@ -209,3 +215,112 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     models = quality_classifier.fit(docs, labels, "doc_id", "text", META)
     rows = quality_classifier.score(docs, models, "text", META, keep=["doc_id"])
     return rows.select("doc_id", "score", "kept", "p_text", "p_meta")
+
+
+@_query(r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) x from documents),
+w as (select doc_id, unnest(range(length(x) // 2 - 49)) i, x from d),
+s as (select doc_id, i, substr(x, 2 * i + 1, 100) win from w),
+o as (select win, min(doc_id) owner from s group by win),
+c as (select doc_id, i from s join o using (win) where owner < doc_id),
+f as (select *, sum(fresh) over (partition by doc_id order by i) z from (
+    select *, cast(i - lag(i, 1, -51) over (partition by doc_id order by i) > 50 as int) fresh from c)),
+g as (select doc_id, min(i) lo, max(i) + 50 hi from f group by doc_id, z),
+p as (select *, lag(hi, 1, 0) over (partition by doc_id order by lo) done from g),
+k as (select doc_id, sum(hi - lo) n, count(*) spans, max(hi) last,
+    string_agg(substr(x, 2 * done + 1, 2 * (lo - done)), '' order by lo) x from p join d using (doc_id) group by doc_id)
+select doc_id, cast(length(d.x) // 2 as bigint) n_bytes, cast(coalesce(n, 0) as bigint) n_removed,
+  cast(coalesce(spans, 0) as bigint) n_spans, sha256(unhex(coalesce(k.x, '') || substr(d.x, 2 * coalesce(last, 0) + 1))) kept_sha256
+from d left join k using (doc_id)
+""")
+def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the 50-byte windows that a smaller doc_id holds."""
+    return suffix_dedup.dedup_digests(table(spark, folder, "documents", ["doc_id", "text"]), "doc_id", "text")
+
+
+_CRC_TABLE = """crc_table as (select list(c order by i) t from (select i,
+    list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) c
+  from range(256) r(i)))"""
+
+
+def _crc_sql(text: str) -> str:
+    values = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: cast('0x' || x as bigint))"
+    return f"""xor(list_reduce(list_prepend(4294967295, {values}),
+      lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295)"""
+
+
+@_query(rf"""
+with {_CRC_TABLE},
+o as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws,
+    {_crc_sql("cast(doc_id as varchar)")} h from documents, crc_table),
+r as (select doc_id, ws, len(ws) n, h % 10 = 0 and len(ws) > 0 as again, case when len(ws) > 0 then (h // 10) % len(ws) end a,
+    3 + (h // 10) % 8 k from o),
+m as (select doc_id, n, case when again then list_transform(range(n), lambda i:
+    ws[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // k) end]) else ws end ws from r),
+w as (select doc_id, n, unnest(range(n)) i, unnest(ws) word from m),
+e as (select x.doc_id, y.i - x.i q, x.i from w x join w y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i
+  and 4 * (y.i - x.i) <= x.n),
+l as (select doc_id, q, min(i) s, count(*) + q z from (
+    select *, i - row_number() over (partition by doc_id, q order by i) g from e) group by doc_id, q, g),
+f as (select doc_id, s, z, min(q) q from l where z >= greatest(6, 4 * q) group by doc_id, s, z),
+best as (select doc_id, count(*) n_runs, string_agg(s || ',' || z || ',' || q || chr(10), '' order by s, q) listed,
+    arg_max(struct_pack(s := s, z := z, q := q), struct_pack(x := z / q, s := -s, q := -q)) b from f group by doc_id),
+gone as (select distinct doc_id, unnest(range(s + q, s + z)) i from f),
+kept as (select doc_id, string_agg(word, ' ' order by i) x from w anti join gone using (doc_id, i) group by doc_id)
+select doc_id, cast(coalesce(n_runs, 0) as bigint) n_runs, cast(b.s as bigint) as "start", cast(b.z as bigint) as "length",
+  cast(b.q as bigint) as period, cast(1000 * b.z // b.q as bigint) exponent_milli, sha256(coalesce(listed, '')) runs_sha256,
+  sha256(coalesce(x, '')) collapsed_sha256
+from documents left join best using (doc_id) left join kept using (doc_id)
+""")
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The runs of every document, after one document in ten has been made to repeat itself from some word on."""
+    # Ids of no document have no crc, so their texts stay as they are.
+    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = table(spark, folder, "documents", ["doc_id", "text"]).select(
+        "doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    chosen = docs.select("doc_id", "text", "h", F.when(F.col("h") % 10 == 0, words).alias("words"))
+    g, n = F.floor(F.col("h") / 10), F.size("words")
+    placed = chosen.select("doc_id", "text", "words", n.alias("n"), F.when(n > 0, F.pmod(g, n)).cast("int").alias("a"), g.alias("g"))
+    p = (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    again = F.expr("""array_join(slice(concat(slice(words, 1, a), flatten(array_repeat(slice(words, a + 1, p),
+        cast(ceil((n - a) / p) as int)))), 1, n), ' ')""")
+    rows = placed.withColumn("p", p).select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+    return periodic_runs.periodic_runs(rows, "doc_id", "text")
+
+
+def slips(doc: int | None, counts: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """A document's words, some of them with a letter left out; a null id counts as an empty one."""
+    start = zlib.crc32(b":" if doc is None else b"%d:" % doc)
+    for word, n in counts.items():
+        h = zlib.crc32(word.encode(), start)
+        if h % 97 == 0:
+            at = h % len(word)
+            yield word[:at] + word[at + 1:], n
+        else:
+            yield word, n
+
+
+@_query(rf"""
+with recursive {_CRC_TABLE},
+w as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) w from documents),
+c as (select doc_id, w, count(*) n from w group by doc_id, w),
+h as (select w, n, {_crc_sql("concat(doc_id, ':', w)")} h from c, crc_table),
+v as (select case when h % 97 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end word, sum(n) n
+  from h group by 1 having sum(n) >= 3 and length(word) >= 5),
+x as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) less from (
+    select word, n, unnest(range(1, length(word) + 1)) i from v)),
+longer as (select distinct x.word a, x.n a_n, v.word b, v.n b_n from x join v on x.less = v.word),
+near as (select a word, b near, b_n m from longer union all select b, a, a_n from longer
+  union all select x.word, y.word, y.n from x join x y on x.less = y.less and x.i = y.i and x.word <> y.word),
+best as (select word, count(*) n_near, arg_min(near, struct_pack(m := -m, near := near)) near, max(m) m from near group by word),
+f as (select v.word, v.n, case when m >= 2 * v.n then near end form, coalesce(n_near, 0) n_near,
+    case when m >= 2 * v.n then m end form_n from v left join best using (word)),
+r as (select word, word as root, 0 as step from f union all select r.word, f.form, step + 1 from r join f on f.word = r.root
+  where f.form is not null),
+l as (select word, arg_max(root, step) root from r group by word)
+select word, form, root, cast(n as bigint) n, cast(n_near as bigint) n_near, cast(form_n as bigint) form_n from f join l using (word)
+""")
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word, the form that it is a slip of, and the root of its forms."""
+    return spelling.spelling_variants(table(spark, folder, "documents", ["doc_id", "text"]), "doc_id", "text", slips)
