@@ -219,8 +219,9 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query(r"""
 with d as (select doc_id, hex(encode(coalesce(text, ''))) x from documents),
-w as (select doc_id, unnest(range(length(x) // 2 - 49)) i, x from d),
-s as (select doc_id, i, substr(x, 2 * i + 1, 100) win from w),
+b as (select doc_id, y, substr(x, 2 * y + 1, 898) x from (select doc_id, x, unnest(range(0, length(x) // 2, 400)) y from d)),
+w as (select doc_id, y, x, unnest(range(least(400, length(x) // 2 - 49))) i from b),
+s as (select doc_id, y + i as i, substr(x, 2 * i + 1, 100) win from w),
 o as (select win, min(doc_id) owner from s group by win),
 c as (select doc_id, i from s join o using (win) where owner < doc_id),
 f as (select *, sum(fresh) over (partition by doc_id order by i) z from (
