@@ -9,9 +9,10 @@ have the same one, so they travel as one span (about one row for 18 bytes), with
 window that occurs in two documents has the same first digit in both, so spans whose digit has one document only are
 done. A span that is equal in a smaller document is covered whole; so only its smallest holder goes on.
 
-Pass 2. The windows of the spans that are left are dealt by their next digits, the names of their first 32 bytes and of
-the rest. Inside a task they are ordered by those two; in each group of equal windows the smallest id owns them, and
-all other documents are covered there.
+Pass 2. The spans that are left are dealt by their first digit, with their bytes. Inside a task the windows of each
+digit's spans are ordered by their next digits, the first 32 bytes and the rest; in each group of equal windows the
+smallest id owns them, and all other documents are covered there. Spans of a digit that has very many of them do not
+travel together: their windows are dealt one by one, by both digits.
 
 Covered stretches are united per document and cut out. Texts equal to one with a smaller id never enter: they are
 covered whole if they hold a window.
@@ -39,6 +40,8 @@ from flowspark.session import ship_package
 
 DEPTH, FIRST_DIGIT = 50, 16
 BLOCK, CHUNK_ROWS = 1 << 18, 1_500_000
+#: From so many spans that are left on, the windows of a digit are dealt one by one; the result is the same.
+HOT_SPANS = 4096
 
 #: What a row of pass 1 says of its key: a digit that several documents have, a span under its digit, a span whose digit
 #: is known to have several documents, under its own name, and a stretch that is covered for certain.
@@ -155,11 +158,11 @@ def _per_group(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _united(doc: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple:
-    """Stretches that touch within a document as one, for rows in order of their place."""
+    """Neighbouring rows whose stretches follow one another and touch, as one."""
     if not len(doc):
         return doc, row, begin, end
     fresh = _starts(doc, row)
-    fresh[1:] |= begin[1:] > end[:-1]
+    fresh[1:] |= (begin[1:] > end[:-1]) | (begin[1:] < begin[:-1])
     heads = np.flatnonzero(fresh)
     return doc[heads], row[heads], begin[heads], np.maximum.reduceat(end, heads)
 
@@ -256,7 +259,8 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[t
 
 
 def _settle_spans(depth: int):
-    """Sorted rows of pass 1 to (doc, row, begin, end, windows): covered stretches (0 windows) and spans that go on."""
+    """Sorted rows of pass 1 to (doc, row, begin, end, windows, low): covered stretches (0 windows) and spans that go on,
+    with the low bits of their digit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, tag, doc, row, place in _whole_groups(batches, 1):
@@ -273,76 +277,157 @@ def _settle_spans(depth: int):
             goes_on = ~beaten & ((kind == _NAMED) | ((kind == _SPAN) & shared))
             out = covered | beaten | goes_on
             end = np.where(covered, begin + size, begin + size + depth - 1)
-            yield _batch("doc row begin end windows", doc[out], row[out], begin[out], end[out],
-                         np.where(goes_on, size, 0)[out])
+            low_bits = np.where(kind == _NAMED, tag, key) & 0xFFFFFFFF
+            yield _batch("doc row begin end windows low", doc[out], row[out], begin[out], end[out],
+                         np.where(goes_on, size, 0)[out], np.where(goes_on, low_bits, 0)[out])
 
     return run
 
 
-def _second_pass(depth: int):
-    """Rows (key, tag, doc, row, place) of the windows of spans that go on, and covered stretches with the tag 0.
+def _window_names(names: Names, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last two digits of windows: their first 32 bytes (or fewer), and the rest."""
+    front = 1 << (len(names.levels) - 1)
+    return names.at(at, front), names.at(at + front, depth - front) if depth > front else np.zeros(len(at), np.uint64)
 
-    ``key`` and ``tag`` name the window's first 32 bytes (or fewer) and the rest.
-    """
-    front = 1 << (min(32, depth).bit_length() - 1)
 
-    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
-        doc, row = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
-        lists = batch.column("spans").combine_chunks() if isinstance(batch.column("spans"), pa.ChunkedArray) else batch.column("spans")
-        spans = lists.flatten()
-        owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-        first, windows = spans.field("begin").to_numpy(), spans.field("windows").to_numpy()
-        column = batch.column("text").cast(pa.large_binary())
-        origin = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-        places = np.repeat(origin[owner] + first, windows) + (
-            np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows))
-        owner = np.repeat(owner, windows)
-        order = np.argsort(places, kind="stable")
-        places, owner = places[order], owner[order]
-        for data, begin, count, _, _ in _blocks(column, depth):
-            here = slice(*np.searchsorted(places, [begin, begin + count]))
-            at, who = places[here] - begin, owner[here]
-            if len(at):
-                names = Names(data, front)
-                rest = names.at(at + front, depth - front) if depth > front else np.zeros(len(at), np.uint64)
-                yield names.at(at, front), rest, doc[who], row[who], places[here] - origin[who]
+def _front(depth: int) -> int:
+    return 1 << (min(32, depth).bit_length() - 1)
+
+
+def _places(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for ``count`` places of each."""
+    return np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+_WINDOWS = "key bigint, tag bigint, doc bigint, row bigint, begin bigint, end bigint, data binary"
+_WINDOW_NAMES = [c.split()[0] for c in _WINDOWS.split(", ")]
+#: The tag of covered stretches and of spans; those of windows are odd.
+_DONE, _BYTES_TAG = 0, 2
+
+
+def _window_batch(*columns, data: pa.Array | None = None) -> pa.RecordBatch:
+    arrays = [pa.array(c.astype(np.int64, copy=False)) for c in columns]
+    return pa.RecordBatch.from_arrays(
+        [*arrays, pa.nulls(len(arrays[0]), pa.binary()) if data is None else data], names=_WINDOW_NAMES)
+
+
+def _second_pass(depth: int):
+    """Rows of pass 2: spans with their bytes, windows of hot digits, and stretches that are covered for certain."""
+    digit = min(FIRST_DIGIT, depth)
+
+    def cold(doc, row, begin, windows, places, data: np.ndarray) -> pa.RecordBatch:
+        sizes = windows + depth - 1
+        offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+        taken = data[_places(places, sizes)]
+        names = Names(taken, digit)
+        start = _places(offsets[:-1].astype(np.int64), np.full(len(doc), depth - digit + 1))
+        least = np.minimum.reduceat(names.at(start, digit), np.arange(len(doc)) * (depth - digit + 1))
+        held = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(taken)])
+        return _window_batch(least.view(np.int64), np.full(len(doc), _BYTES_TAG), doc, row, begin, begin + sizes, data=held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, doc, row, begin in _chunks(batches, rows_of):
-            order = np.lexsort((begin, row, doc, b, a))
-            a_, b_, o, r, p = a[order], b[order], doc[order], row[order], begin[order]
-            covered = o > _per_group(_starts(a_, b_), o)
-            at = np.sort(order[covered])
-            stretch = _united(doc[at], row[at], begin[at], begin[at] + depth)
-            yield _batch("key tag doc row begin end", np.zeros(len(stretch[0])), np.zeros(len(stretch[0])), *stretch)
-            left = ~covered & _starts(a_, b_, o, r, p)
-            yield _batch("key tag doc row begin end", a_[left].view(np.int64), b_[left].view(np.int64) | 1, o[left], r[left],
-                         p[left], p[left] + depth)
+        waiting, count = [], 0
+        for batch in batches:
+            doc, row = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
+            lists = batch.column("spans")
+            spans, owner = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            first, windows = spans.field("begin").to_numpy(), spans.field("windows").to_numpy()
+            hot = spans.field("hot").to_numpy(zero_copy_only=False)
+            column = batch.column("text").cast(pa.large_binary())
+            origin = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+            data = np.frombuffer(column.buffers()[2], np.uint8)
+            for part in range(0, len(owner), BLOCK // depth):
+                here = np.arange(part, min(part + BLOCK // depth, len(owner)))
+                calm = here[~hot[here]]
+                if len(calm):
+                    who = owner[calm]
+                    yield cold(doc[who], row[who], first[calm], windows[calm], origin[who] + first[calm], data)
+                busy = here[hot[here]]
+                if len(busy):
+                    who, sizes = owner[busy], windows[busy] + depth - 1
+                    names = Names(data[_places(origin[who] + first[busy], sizes)], _front(depth))
+                    at = _places(np.cumsum(sizes) - sizes, windows[busy])
+                    who = np.repeat(who, windows[busy])
+                    waiting.append((*_window_names(names, at, depth), doc[who], row[who], _places(first[busy], windows[busy])))
+                    count += len(at)
+            if count >= CHUNK_ROWS:
+                yield from settled(waiting)
+                waiting, count = [], 0
+        if waiting:
+            yield from settled(waiting)
+
+    def settled(waiting: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """What a chunk's hot windows say of one another, and those that are left."""
+        a, b, doc, row, begin = map(np.concatenate, zip(*waiting))
+        order = np.lexsort((begin, row, doc, b, a))
+        a, b, doc, row, begin = (x[order] for x in (a, b, doc, row, begin))
+        beaten = doc > _per_group(_starts(a, b), doc)
+        at = np.flatnonzero(beaten)
+        at = at[np.lexsort((begin[at], row[at], doc[at]))]
+        stretch = _united(doc[at], row[at], begin[at], begin[at] + depth)
+        done = np.full(len(stretch[0]), _DONE)
+        yield _window_batch(_mixed(stretch[0].astype(np.uint64), stretch[2].astype(np.uint64)).view(np.int64), done, *stretch)
+        left = ~beaten & _starts(a, b, doc, row, begin)
+        yield _window_batch(a[left].view(np.int64), b[left].view(np.int64) | 1, doc[left], row[left], begin[left],
+                            begin[left] + depth)
 
     return run
 
 
-def _settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted windows to the stretches (doc, row, begin, end) that are covered."""
-    for key, tag, doc, row, begin, end in _whole_groups(batches, 2):
-        out = (tag == 0) | (doc > _per_group(_starts(key, tag), doc))
+def _settle_windows(depth: int):
+    """Sorted rows of pass 2 to the stretches (doc, row, begin, end) that are covered."""
+
+    def of_spans(key, doc, row, begin, end, data: pa.Array) -> Iterator[tuple]:
+        sizes = end - begin
+        windows = sizes - depth + 1
+        names = Names(np.frombuffer(b"".join(data.to_pylist()), np.uint8), _front(depth))
+        a, b = _window_names(names, _places(np.cumsum(sizes) - sizes, windows), depth)
+        group, who = np.repeat(np.cumsum(_starts(key)), windows), np.repeat(np.arange(len(key)), windows)
+        place = _places(begin, windows)
+        order = np.lexsort((doc[who], b, a, group))
+        first = _starts(group[order], a[order], b[order])
+        beaten = np.sort(order[doc[who][order] > _per_group(first, doc[who][order])])
+        yield _united(doc[who][beaten], row[who][beaten], place[beaten], place[beaten] + depth)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            key, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            last = int(np.flatnonzero(_starts(key, tag))[-1]) if len(key) else 0
+            held = batch.slice(last)
+            if last:
+                yield from found(batch.slice(0, last))
+        if held is not None and held.num_rows:
+            yield from found(held)
+
+    def found(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, tag, doc, row, begin, end = (c.to_numpy() for c in batch.columns[:6])
+        spans = np.flatnonzero(tag == _BYTES_TAG)
+        out = np.flatnonzero((tag == _DONE) | ((tag != _BYTES_TAG) & (doc > _per_group(_starts(key, tag), doc))))
         yield _batch("doc row begin end", doc[out], row[out], begin[out], end[out])
+        if len(spans):
+            data = batch.column(6).take(pa.array(spans))
+            for stretch in of_spans(key[spans], doc[spans], row[spans], begin[spans], end[spans], data):
+                yield _batch("doc row begin end", *stretch)
+
+    return run
 
 
 def covered_stretches(texts: DataFrame, depth: int) -> DataFrame:
     """(doc, row, begin, end) of bytes of ``texts`` (doc, row, text) under windows that a smaller doc holds."""
     rows = "key bigint, tag bigint, doc bigint, row bigint, place bigint"
     spans = texts.mapInArrow(_first_pass(depth), rows).repartition("key").sortWithinPartitions("key", "tag", "doc")
-    settled = stored(spans.mapInArrow(
-        _settle_spans(depth), "doc bigint, row bigint, begin bigint, end bigint, windows bigint"), "spans")
-    going = settled.where("windows > 0").groupBy("doc", "row").agg(
-        F.collect_list(F.struct("begin", "windows")).alias("spans"))
-    rows = "key bigint, tag bigint, doc bigint, row bigint, begin bigint, end bigint"
-    windows = texts.join(going, ["doc", "row"]).mapInArrow(_second_pass(depth), rows)
-    # Covered stretches pass through; spread by their place, they gather nowhere.
-    spread = F.when(F.col("tag") == 0, F.xxhash64("doc", "begin")).otherwise(F.col("key"))
-    ordered = windows.withColumn("key", spread).repartition("key", "tag").sortWithinPartitions("key", "tag", "doc")
-    found = stored(ordered.mapInArrow(_settle_windows, "doc bigint, row bigint, begin bigint, end bigint"), "windows")
+    settled = stored(spans.mapInArrow(_settle_spans(depth), (
+        "doc bigint, row bigint, begin bigint, end bigint, windows bigint, low bigint")), "spans")
+    left = settled.where("windows > 0")
+    hot = stored(left.groupBy("low").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_SPANS).select("low"), "hot")
+    going = left.join(sized(hot.withColumn("hot", F.lit(True))), "low", "left").groupBy("doc", "row").agg(
+        F.collect_list(F.struct("begin", "windows", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spans"))
+    windows = texts.join(going, ["doc", "row"]).mapInArrow(_second_pass(depth), _WINDOWS)
+    ordered = windows.repartition("key", "tag").sortWithinPartitions("key", "tag", "doc")
+    found = stored(ordered.mapInArrow(_settle_windows(depth), "doc bigint, row bigint, begin bigint, end bigint"), "windows")
     return settled.where("windows = 0").select("doc", "row", "begin", "end").union(found)
 
 
