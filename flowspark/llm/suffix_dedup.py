@@ -39,7 +39,7 @@ from flowspark.llm.tables import sized, stored
 from flowspark.session import ship_package
 
 DEPTH, FIRST_DIGIT = 50, 16
-BLOCK, CHUNK_ROWS = 1 << 18, 1_500_000
+BLOCK, CHUNK_ROWS = 1 << 18, 500_000
 #: From so many spans that are left on, the windows of a digit are dealt one by one; the result is the same.
 HOT_SPANS = 4096
 
