@@ -522,11 +522,11 @@ def without_repeats(df: DataFrame, key: str, text: str, depth: int = DEPTH, kept
     base = df.drop(kept)
     rows, at, copy = _with_stretches(base, key, text, depth)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    place = base.columns.index(text)
+    place, names = base.columns.index(text), [*base.columns, kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left = [f[0] for f in _cut(batch.column(place), *batch.columns[-2:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(left, pa.binary())], names=[*base.columns, kept])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(left, pa.binary())], names=names)
 
     return rows.mapInArrow(run, f"{fields}, `{kept}` binary")
