@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from flowspark.llm.memory import alone, remembered
 from flowspark.session import ship_package
 
 #: Bounds of what a task remembers: pieces and prefixes (two generations of each), pairs of tokens, bytes of a piece.
@@ -220,7 +221,7 @@ class Draft:
         return list(chain.from_iterable(map(self.encoder.pieces.__getitem__, self.parts)))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = remembered({})
 
 
 def encode_rows(df: DataFrame, text: str, keep: list[str], ranks_path: str, pattern: str, ids: bool = True) -> DataFrame:
@@ -237,6 +238,7 @@ def encode_rows(df: DataFrame, text: str, keep: list[str], ranks_path: str, patt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = f"{ranks_path}\n{pattern}"
+        alone(_encoders)
         if key not in _encoders:
             _encoders[key] = Encoder(table.value, pattern)
         encoder = _encoders[key]

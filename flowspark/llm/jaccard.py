@@ -17,8 +17,8 @@ No link between different sets is lost: a pair is either in one component after
 where the bound is an upper one. Nothing is capped; the list of frequent tokens only moves work, and is bounded.
 
 Defined cases: a null or empty text has an empty set, links with nothing and is its own component; a text shorter than
-a shingle is one shingle; rows that repeat an id are linked by their own texts; rows without an id take no part and get
-no component; an empty table gives an empty result; texts of any length are read whole; other columns are ignored.
+a shingle is one shingle; rows that repeat an id are one document, linked by each of their texts; rows without an id take
+no part and get no component; an empty table gives an empty result; texts of any length are read whole; other columns are ignored.
 """
 
 from collections.abc import Iterator
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm.components import components
+from flowspark.llm.memory import alone, remembered
 from flowspark.llm.tables import sized, stored
 from flowspark.session import ship_package
 
@@ -51,7 +52,7 @@ class _Words(dict):
         return value
 
 
-_words = _Words()
+_words = remembered(_Words())
 
 
 def shingles(data: bytes, size: int) -> np.ndarray:
@@ -101,6 +102,7 @@ def frequent_tokens(texts: DataFrame, size: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(_words)
         limit = np.uint64(int(COUNTED_SHARE * 2**64))
         waiting, held = [], 0
 
@@ -132,6 +134,7 @@ def signatures(texts: DataFrame, size: int, percent: int, frequent: np.ndarray)
     listed = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(_words)
         heavy = listed.value
         for batch in batches:
             counts, keys, rests, prefixes = [], [], [], []
@@ -211,6 +214,7 @@ def prefix_buckets(signed: DataFrame) -> DataFrame:
 
 def _sets(batches_column: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(_words)
         for batch in batches:
             sets = [shingles(t.as_py() or b"", size).view(np.int64).tobytes()
                     for t in batch.column("text").cast(pa.binary())]
@@ -249,22 +253,23 @@ def linked(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
     return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _groups(star: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc, component, grp) for documents with a close lead or a link.
+def _groups(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, component, grp) for documents that met a lead or have a link.
 
-    A large component is cut into groups of its own; other documents go by their closest lead. Groups hold documents of
-    about the same size, ``GROUP_ROWS`` or so.
+    A large component is cut into groups of its own; other documents go by their closest lead, apart from one another
+    where one is close and one is not. Groups hold documents of about the same size, ``GROUP_ROWS`` or so.
     """
-    led = star.groupBy(F.col("b").alias("doc")).agg(
-        F.max_by("a", F.struct("shared", -F.col("a"))).alias("lead"), F.first("m").alias("n"))
-    leads = star.groupBy(F.col("a").alias("doc")).agg(F.first("n").alias("n")).join(
-        led.select("doc"), "doc", "left_anti").select("doc", F.col("doc").alias("lead"), "n")
+    led = met.groupBy(F.col("b").alias("doc")).agg(
+        F.max_by(F.struct("a", "close"), F.struct("close", "shared", -F.col("a"))).alias("by"), F.first("m").alias("n"))
+    leads = met.groupBy(F.col("a").alias("doc")).agg(F.first("n").alias("n")).join(
+        led.select("doc"), "doc", "left_anti").select("doc", F.col("doc").alias("lead"), "n", F.lit(True).alias("close"))
+    led = led.select("doc", F.col("by.a").alias("lead"), "n", F.col("by.close").alias("close"))
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
     tied = found.join(sizes, "component").select(F.col("node").alias("doc"), "component", "size")
-    joined = led.select("doc", "lead", "n").union(leads).join(tied, "doc", "left").select(
+    joined = led.union(leads).join(tied, "doc", "left").select(
         "doc", F.coalesce("component", "doc").alias("component"),
         F.when(F.col("size") > GROUP_ROWS, F.xxhash64("component", F.lit("own"))).otherwise(
-            F.xxhash64("lead", F.lit("lead"))).alias("base"),
+            F.xxhash64("lead", "close", F.lit("lead"))).alias("base"),
         F.floor(F.log(F.col("n").cast("double")) / 0.05).alias("band"))
     joined = stored(joined, "bases")
     parts = joined.groupBy("base", "band").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("parts"))
@@ -308,7 +313,7 @@ def links_in_groups(texts: DataFrame, opened: DataFrame, members: DataFrame, siz
     inside = stored(members.join(wanted, "g", "left_semi"), "inside")
     docs = sized(stored(inside.select(F.col("doc").alias("b")).distinct(), "wanted"))
     sets = texts.join(docs, F.col("doc") == F.col("b")).select("doc", "text").mapInArrow(
-        _sets("set", size), "doc bigint, set binary").dropDuplicates(["doc"])
+        _sets("set", size), "doc bigint, set binary").distinct()
     whole = stored(inside.join(sets, "doc").groupBy("g").agg(
         F.collect_list(F.struct("doc", "component", "set")).alias("held")), "groups")
 
@@ -350,6 +355,15 @@ def _links_between(asking: tuple, asked: tuple, percent: int) -> tuple[np.ndarra
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def _several_texts(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): an id with different texts is one document, so it links the classes of all its texts."""
+    key = F.struct("n", "k1", "k2")
+    ids = signed.where("n > 0 and doc is not null").groupBy("doc").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    several = sized(stored(ids.where("lo <> hi").select("doc"), "several"))
+    rows = signed.where("n > 0").join(several, "doc").select("doc", "n", "k1", "k2").distinct()
+    return rows.join(classes, ["n", "k1", "k2"]).select(F.col("first").alias("a"), F.col("doc").alias("b"))
+
+
 def jaccard_components(df: DataFrame, key: str, text: str, size: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) per row; two rows link from a Jaccard similarity of ``percent`` / 100 on.
 
@@ -366,12 +380,13 @@ def jaccard_components(df: DataFrame, key: str, text: str, size: int = 5, percen
     # Only grouping depends on these pairs, so half of the shared tokens is asked for: a bucket may have another lead.
     close = _sizes_fit(F.col("n"), F.col("m"), percent) & (
         2 * F.col("shared") >= least_shared(F.col("n"), F.col("m"), percent))
-    star = stored(counted.where(close), "star")
-    found = stored(components(linked(known, star.select("a", "b"), size, percent)), "found")
-    opened, members = opened_groups(buckets, stored(_groups(star, found), "groups"), percent)
+    met = stored(counted.withColumn("close", close), "met")
+    star = stored(met.where("close").select("a", "b"), "star")
+    classes = signed.where("n > 0 and doc is not null").groupBy("n", "k1", "k2").agg(F.min("doc").alias("first"))
+    found = stored(components(linked(known, star, size, percent).union(_several_texts(signed, classes))), "found")
+    opened, members = opened_groups(buckets, stored(_groups(met, found), "groups"), percent)
     more = links_in_groups(known, opened, members, size, percent)
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    classes = signed.where("n > 0 and doc is not null").groupBy("n", "k1", "k2").agg(F.min("doc").alias("first"))
     parts = classes.join(sized(stored(found, "components")), F.col("first") == F.col("node"), "left").select(
         "n", "k1", "k2", F.coalesce("component", "first").alias("component"))
     # Stored, so that the join of plain tables can be split where one class holds very many rows.

@@ -9,6 +9,9 @@ What is left at the end of a task (fewer than k pieces of each class) is strung
 the last stretch is cut into powers of two, the sizes that need no padding. So only full class sequences are padded,
 by less than ``tolerance``.
 
+The ids are those of the whole tokenizer without tokens around a text; an added token's own string in a text is that
+token, as by the library's default.
+
 Defined cases: a null or empty text is a document of the closing id alone; very long texts are cut; documents of equal
 length and repeated rows are packed one by one; an empty table gives an empty result. A task holds one unfilled
 sequence per class, so its memory does not grow with the input.
@@ -19,6 +22,7 @@ import json
 import zlib
 from array import array
 from collections.abc import Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from flowspark.llm.memory import alone, remembered
 from flowspark.session import ship_package
 
 CAPACITY, TOLERANCE = 4096, 0.005
-MEMORY_CHUNKS = 250_000
+#: Bytes of a generation of remembered chunks, and the longest chunk that is remembered.
+MEMORY_BYTES, MEMORY_CHARS = 24_000_000, 64
 BATCH_PIECES = 20_000
 
 _MARKS = "!#$%&*+,-./:;<=>?@[]^_`{|}~\"()"  # without the apostrophe, which may begin a contraction
@@ -102,73 +108,74 @@ class Packer:
 
 
 class _Memory(dict):
-    """A bounded memory of ``make``'s answers. When it is full, what was not asked for since it last was goes."""
+    """Answers of ``make``, of two generations: a full one becomes the older, and what was not asked for since goes.
 
-    def __init__(self):
-        super().__init__()
-        self.older = {}
+    Keys and answers count with the bytes that they and their entry take.
+    """
 
-    def make(self, key: str) -> bytes:
-        raise NotImplementedError
+    def __init__(self, make, older: "_Memory | None" = None):
+        super().__init__()
+        self.make, self.older, self.bytes = make, older, 0
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= MEMORY_CHUNKS:
-            self.older = dict(self)
-            self.clear()
-        value = self.older.get(key)
+        value = self.older.get(key) if self.older is not None else None
         if value is None:
             value = self.make(key)
-        self[key] = value
+        if len(key) <= MEMORY_CHARS and self.bytes < 2 * MEMORY_BYTES:
+            self[key] = value
+            self.bytes += getsizeof(key) + getsizeof(value) + 100
         return value
 
-
-class _PieceTokens(_Memory):
-    """Ids (as little-endian bytes) of what the vocabulary's pattern cuts out of lower-case text."""
-
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.tokenize = tokenizer.model.tokenize
-
-    def make(self, piece: str) -> bytes:
-        word = piece if piece.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, piece.encode()))
-        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
+    def next(self) -> "_Memory":
+        """This memory, or where it is full an empty one that has it as its older generation."""
+        if self.bytes < MEMORY_BYTES:
+            return self
+        self.older = None
+        return _Memory(self.make, self)
 
 
-class ChunkTokens(_Memory):
+class ChunkTokens:
     """Ids (as little-endian bytes) of the stretches between spaces and line ends, kept in bounded memories.
 
     The vocabulary's words end at white space, so a text's ids are those of its stretches one after the other. In
     stretches of printable Latin characters, where normalising is lower-casing, the pattern's pieces are looked up one
-    by one; all others go through the whole tokenizer.
+    by one; all others, and those with one of the vocabulary's added tokens, go through the whole tokenizer.
     """
 
     def __init__(self, description: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(description)
-        self.tokenizer.encode_special_tokens = True
         wanted = json.loads(description)
         normal = [n["type"] for n in wanted["normalizer"]["normalizers"]]
         split = wanted["pre_tokenizer"]["pretokenizers"][0]
         if normal != ["NFC", "Replace", "Lowercase"] or not split["invert"]:
             raise ValueError("a tokenizer that lower-cases and keeps a pattern's matches is needed")
+        added = [regex.escape(t["content"].lower()) for t in wanted["added_tokens"]]
+        self.added = regex.compile("|".join(added) or "(?!)").search
         self.find = regex.compile(split["pattern"]["Regex"]).findall
-        self.pieces = _PieceTokens(self.tokenizer)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.chunks, self.pieces = _Memory(self.make), _Memory(self.piece)
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of what the vocabulary's pattern cuts out of lower-case text."""
+        word = piece if piece.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
 
     def make(self, chunk: str) -> bytes:
-        if not _LATIN(chunk):
-            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         low = chunk.lower()
+        if not _LATIN(chunk) or self.added(low):
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         word = low.rstrip(_MARKS)
         if word.isalpha():  # letters and then marks are two pieces
             return self.pieces[word] + self.pieces[low[len(word):]] if len(word) < len(low) else self.pieces[word]
         return b"".join(map(self.pieces.__getitem__, self.find(low)))
 
     def encode(self, text: str, closing: int) -> np.ndarray:
-        found = b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        self.chunks, self.pieces = self.chunks.next(), self.pieces.next()
+        found = b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
         return np.frombuffer(found + closing.to_bytes(4, "little"), np.uint32)
 
 
-_tokenizers: dict[str, ChunkTokens] = {}
+_tokenizers: dict[str, ChunkTokens] = remembered({})
 
 
 def pack_documents(df: DataFrame, key: str, text: str, tokenizer_path: str, closing: int, capacity: int = CAPACITY,
@@ -189,6 +196,7 @@ def pack_documents(df: DataFrame, key: str, text: str, tokenizer_path: str, clos
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(_tokenizers)
         if digest not in _tokenizers:
             _tokenizers.clear()
             _tokenizers[digest] = ChunkTokens(description.value)

@@ -31,6 +31,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.llm.memory import alone, remembered
 from flowspark.llm.tables import stored
 from flowspark.session import ship_package
 
@@ -59,7 +60,7 @@ class _Features(dict):
         return value
 
 
-_features = _Features()
+_features = remembered(_Features())
 
 
 def text_features(text: str | None) -> np.ndarray:
@@ -101,6 +102,7 @@ class Models:
 
 def _feature_rows(df: DataFrame, key: str, text: str, meta: tuple[str, str, str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(_features)
         for batch in batches:
             rows = batch.to_pydict()
             words = [text_features(t) for t in rows["t"]]
@@ -262,6 +264,7 @@ def score(docs: DataFrame, models: Models | None, text: str, meta: tuple[str, st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        alone(_features)
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -30,7 +30,8 @@ def brute(rows, size, percent):
             if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = root(i), root(j)
                 parent[max(x, y)] = min(x, y)
-    return sorted((-1 if i is None else i, len(sets_of(t, size)), None if i is None else root(i)) for i, t in rows)
+    return sorted((-1 if i is None else i, len(sets_of(t, size)), 
+                   None if i is None else root(i) if sets_of(t, size) else i) for i, t in rows)
 
 
 def check(spark, rows, size=4, percent=85):
@@ -66,6 +67,16 @@ def test_families(spark, percent):
     check(spark, families(percent, 220), percent=percent)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_ids_with_several_texts(spark, seed):
+    draw = random.Random(seed)
+    rows = families(seed, 160)
+    ids = [i for i, _ in rows]
+    for at in draw.sample(range(len(rows)), 50):
+        rows[at] = (draw.choice(ids), rows[at][1])
+    check(spark, rows + [(ids[0], ""), (ids[1], None)])
+
+
 def test_cases(spark):
     long = " ".join(f"v{i}" for i in range(3000))
     check(spark, [

@@ -26,21 +26,23 @@ def test_powers_of_two():
 
 def test_chunks_equal_the_whole_tokenizer():
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
     with open(PATH, encoding="utf-8") as file:
         chunks = packing.ChunkTokens(file.read())
-    texts = ["", "  ", "Don't STOP, it's 12³½!", "İstanbul ΣΑΣ é Å", "a\tb\x0bc\x85d e", "ª­x ﬁ 中文 😀", "<|endoftext|> x",
+    texts = ["", "  ", "Don't STOP, it's 12³½!", "İstanbul ΣΑΣ é Å", "a\tb\x0bc\x85d e", "ª­x ﬁ 中文 😀", "end <|endoftext|> x",
+             "a<|startoftext|>B <|ENDOFTEXT|>.", "<|endoftext|>" * 9,
              "\ttab", "é combining", "''s 'll''", "a\x1cb"]
     for text in texts:
         assert chunks.encode(text, 2).tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2]
 
 
 def test_memory_forgets_without_changing_answers(monkeypatch):
-    monkeypatch.setattr(packing, "MEMORY_CHUNKS", 3)
+    monkeypatch.setattr(packing, "MEMORY_BYTES", 700)
     with open(PATH, encoding="utf-8") as file:
         chunks = packing.ChunkTokens(file.read())
-    text = "one two three four one five two six seven one"
-    assert chunks.encode(text, 2).tolist() == [*Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, 2]
+    whole = Tokenizer.from_file(PATH)
+    for text in ["one two three", "four one five two six", "seven " + "one" * 40 + " eight nine ten eleven", "one", "two one", "six"] * 3:
+        assert chunks.encode(text, 2).tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2]
+        assert len(chunks.chunks) < 9 and "one" * 40 not in chunks.chunks and chunks.chunks.bytes < 1700
 
 
 def test_rows(spark):
