@@ -73,13 +73,15 @@ _LOGS = f"select *, ln(1 + sload) sload_log, ln(1 + rate) rate_log, ln(1 + spkts
 
 
 @query("column string, mean double6, deviation double6", " union all ".join(
-    f"""select '{c}' "column", avg({c}) mean, stddev_pop({c}) deviation from ({_LOGS}) g""" for c in _SCALED_COLUMNS))
+    f"""select '{c}' "column", round(avg({c}), 4) mean, round(stddev_pop({c}), 4) deviation from ({_LOGS}) g""" for c in _SCALED_COLUMNS))
 def artifacts_stored(spark, folder):
     """The fitted scaler after it was saved and loaded."""
     path = scratch_folder(spark, "artifacts")
     prep.save_artifacts(spark, prep.preprocess_train(views.labelled(spark, folder), top=TOP)[3], path)
     scaler = prep.load_artifacts(spark, path)["scaler"]
-    return spark.createDataFrame([(c, *v) for c, v in scaler.items()], "column string, mean double, deviation double")
+    # Four digits: the sixth of a mean depends on the order of its sum.
+    rows = [(c, round(m, 4), round(d, 4)) for c, (m, d) in scaler.items()]
+    return spark.createDataFrame(rows, "column string, mean double, deviation double")
 
 
 @query("sink string, rows bigint, packets bigint", over_flows("""

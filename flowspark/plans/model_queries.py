@@ -14,6 +14,7 @@ from flowspark.functions.encode import encode_flows, feature_vector
 from flowspark.operators import alerts as A
 from flowspark.operators import evaluation as E
 from flowspark.operators import explain as X
+from flowspark.operators import paths as P
 from flowspark.operators import training as M
 from flowspark.operators.scoring import score_vectors
 from flowspark.plans.inputs import flows, once
@@ -127,7 +128,7 @@ def importance_totals(spark, folder):
 @query("round int, loss double6", None)
 def boosting_rounds(spark, folder):
     """All rounds: a validation column would let Spark stop as soon as a round gains less than one percent."""
-    return M.loss_per_round(fitted("boost", spark, folder), test_rows(spark, folder))
+    return M.loss_per_round(fitted("boost", spark, folder), test_rows(spark, folder).withColumn("weight", F.lit(1.0)))
 
 
 @query("label double, fold int, n bigint", over_flows(f"""
@@ -141,30 +142,57 @@ _SEARCH = "rank int, settings string, mean_score double6, std_score double6, mea
 
 
 def _searched(spark, folder):
+    """The ranked draws, and their fits."""
     key = (spark.sparkContext.applicationId, folder, "searched")
     if key not in _models:
-        draws = M.draw(M.LOGISTIC_SPACE, DRAWS)
-        _models[key] = M.search(train_rows(spark, folder), lambda s, n: M.logistic(n, s), draws, folds=FOLDS)
+        _models[key] = P.search(train_rows(spark, folder), M.draw(M.LOGISTIC_SPACE, DRAWS), FOLDS)
+    return _models[key]
+
+
+def _swept(spark, folder):
+    key = (spark.sparkContext.applicationId, folder, "swept")
+    if key not in _models:
+        _models[key] = P.sweep_c(train_rows(spark, folder), test_rows(spark, folder))
     return _models[key]
 
 
 @query(_SEARCH, None)
 def randomized_search(spark, folder):
-    return M.search_table(spark, _searched(spark, folder))
+    return M.search_table(spark, _searched(spark, folder)[0])
+
+
+@query("draw int, fits int, optimal boolean, ranked boolean",
+       f"select unnest(range({DRAWS})) draw, {FOLDS} fits, true optimal, true ranked")
+def search_conditions(spark, folder):
+    """Every draw was fitted on each fold to where the conditions of a minimum hold, and ranks follow the scores."""
+    results, problems = _searched(spark, folder)
+    scores = [r["mean_score"] for r in results]
+    ranked = scores == sorted(scores, reverse=True) and [r["rank"] for r in results] == list(range(1, DRAWS + 1))
+    rows = [(d, len(own), all(p.residual <= P.TOL for p in own), ranked)
+            for d in range(DRAWS) for own in [problems[d * FOLDS:(d + 1) * FOLDS]]]
+    return spark.createDataFrame(rows, "draw int, fits int, optimal boolean, ranked boolean")
 
 
 @query(_SEARCH, None)
 def grid_search(spark, folder):
     """The whole tight grid around the best settings of the randomized search."""
-    grid = M.refined_grid(_searched(spark, folder)[0]["settings"])
-    results = M.search(train_rows(spark, folder), lambda s, n: M.logistic(n, s), M.expand(grid), folds=FOLDS,
-                       metric="accuracy")
-    return M.search_table(spark, results)
+    grid = M.refined_grid(_searched(spark, folder)[0][0]["settings"])
+    return M.search_table(spark, P.search(train_rows(spark, folder), M.expand(grid), FOLDS, "accuracy")[0])
 
 
 @query("C double6, train_acc double6, val_acc double6", None)
 def c_sweep(spark, folder):
-    return M.sweep_c(train_rows(spark, folder), test_rows(spark, folder))
+    return _swept(spark, folder)[0]
+
+
+@query("C double6, optimal boolean, shares boolean",
+       "select pow(10, -3 + 6 * i / 19) C, true optimal, true shares from range(20) t(i)")
+def c_sweep_conditions(spark, folder):
+    """Every value of C has a fit that meets the conditions of a minimum, and two shares of rows."""
+    table, problems = _swept(spark, folder)
+    fits = spark.createDataFrame([(p.c, p.residual <= P.TOL) for p in problems], "C double, optimal boolean")
+    share = F.col("train_acc").between(0, 1) & F.col("val_acc").between(0, 1)
+    return table.join(fits, "C").select("C", "optimal", share.alias("shares"))
 
 
 @query("feature string, importance double6", None)

@@ -1,6 +1,7 @@
 """The registered model queries do the study's whole job: its settings, draws, folds, and rows kept for judging."""
 
 from flowspark.operators import explain as X
+from flowspark.operators import paths as P
 from flowspark.operators import training as M
 from flowspark.plans import model_queries as Q
 
@@ -21,26 +22,18 @@ def test_judged_rows_were_not_fitted_on(spark, data):
     assert test.select("label").distinct().count() == 2
 
 
-def test_searches_are_whole(spark, data, monkeypatch):
-    asked = []
-
-    def search(df, build, candidates, folds=3, metric="roc_auc", parallelism=4):
-        asked.append((len(candidates), folds, {c["max_iter"] for c in candidates}, {c["class_weight"] for c in candidates}))
-        return [{"rank": 1, "settings": {**candidates[0], "C": 1.0, "penalty": "l2"}, "mean_score": 1.0, "std_score": 0.0,
-                 "mean_train_score": 1.0}]
-
-    monkeypatch.setattr(Q, "_models", {})
-    monkeypatch.setattr(M, "search", search)
-    Q.randomized_search(spark, data)
-    Q.grid_search(spark, data)
-    assert asked == [(50, 5, {2000}, {None, "balanced"}), (10, 5, {2000}, {None, "balanced"})]
+def test_searches_are_whole(spark, data):
+    results, problems = Q._searched(spark, data)
+    assert len(results) == 50 and len(problems) == 250 and all(p.max_iter == 2000 for p in problems)
+    assert {r["settings"]["class_weight"] for r in results} == {None, "balanced"}
+    assert all(p.residual <= P.TOL for p in problems)
+    best = Q.grid_search(spark, data)
+    assert best.count() == 10 and best.where("rank = 1").first()["mean_score"] >= best.where("rank = 2").first()["mean_score"]
 
 
-def test_sweep_and_permutations_are_whole(spark, data, monkeypatch):
+def test_permutations_are_whole(spark, data, monkeypatch):
     asked = []
-    monkeypatch.setattr(M, "sweep_c", lambda train, held_out, values=None, settings=None: asked.append((values, settings)))
     monkeypatch.setattr(X, "permutation_importance", lambda df, model, names, repeats=10: asked.append(repeats))
     monkeypatch.setattr(Q, "fitted", lambda *_: None)
-    Q.c_sweep(spark, data)
     Q.permutation_importance(spark, data)
-    assert asked == [(None, None), 10]
+    assert asked == [10]
