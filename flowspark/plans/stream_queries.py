@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowspark.contracts import HISTORY_COUNTS, PACKET_SCHEMA
 from flowspark.operators.flows import flow_measures
-from flowspark.plans.alert_queries import over_flagged
+from flowspark.plans.alert_queries import _DELIVERED, over_flagged
 from flowspark.plans.inputs import EVENT_TTL_US, flagged_detections, flows, scored_detections
 from flowspark.plans.operation_queries import _rate_sql
 from flowspark.plans.oracle import PACKETS, over_flows
@@ -24,8 +24,12 @@ from flowspark.sources.captures import capture_rejects, place, read_frames, read
 from flowspark.sources.sinks import publish
 from flowspark.sources.messages import decode_json
 from flowspark.streaming import jobs as J
+from flowspark.streaming.blocks import HistoryPath
+from flowspark.streaming.live import LivePath
 
 END_US = 4_000_000_000_000_000
+LIVE_DELAY_US, HISTORY_DELAY_US, LIVE_BATCHES = 6 * 3_600_000_000, 2_000_000, 5
+_live = {}
 
 
 def drained(df: DataFrame, make: Callable[[DataFrame], DataFrame], later: list[DataFrame],
@@ -68,12 +72,23 @@ def stream_history(spark, folder):
     finished = flows(spark, folder).select(
         "capture_id", "emit_no", "srcip", "dstip", "sport", "dsport", "service", "stime_us",
         ((F.col("emit_no") + 1) * 1000).alias("emit_us"),  # the record has no emission time: a flow a millisecond
-        # from 1 on, as Spark takes time 0 to be late from the start
     )
-    end = finished.limit(1).withColumn("capture_id", F.lit("end"))
-    later = [end.withColumn("emit_us", F.lit(END_US * k).cast("bigint")) for k in (1, 2)]
-    counted = drained(finished, lambda s: J.stream_history(s, "emit_no", delay="3660 days"), later, batches=4)
-    return counted.filter("capture_id <> 'end'")
+    # Flows arrive up to two seconds late and in no order, over five batches, with a restart after three.
+    at = F.col("emit_us") + F.pmod(F.xxhash64("capture_id", "emit_no"), F.lit(HISTORY_DELAY_US))
+    arrivals, out, checkpoint = (scratch_folder(spark, n) for n in ("arrivals", "history", "progress"))
+    path = HistoryPath(out, delay_us=HISTORY_DELAY_US)
+    stream = lambda: spark.readStream.schema(finished.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
+    arrived = finished.withColumn("_at", at)
+    edges = [float("-inf"), *arrived.approxQuantile("_at", [k / LIVE_BATCHES for k in range(1, LIVE_BATCHES)], 0.001),
+             float("inf")]
+    for k in range(LIVE_BATCHES):
+        part = arrived.filter((F.col("_at") >= edges[k]) & (F.col("_at") < edges[k + 1])).drop("_at")
+        part.orderBy(F.xxhash64("emit_no", "capture_id")).coalesce(1).write.mode("append").parquet(arrivals)
+        if k == 2:
+            path.run(stream(), checkpoint)
+    path.run(stream(), checkpoint)
+    path.finish(spark)
+    return path.table(spark, "counted")
 
 
 @query("event_id bigint, label int, alert boolean", over_flagged("select event_id, label, alert from flagged"))
@@ -84,6 +99,68 @@ def stream_alert_flags(spark, folder):
     return flagged.filter("event_id >= 0")
 
 
+def live_arrivals(scored: DataFrame) -> list[DataFrame]:
+    """Messages of the batches in which scored rows arrive: up to the delay late and in no order, with broken ones.
+
+    The last batch also brings copies of some rows stamped long ago, which are late.
+    """
+    message = F.to_json(F.struct(*scored.columns)).alias("value")
+    jitter = F.pmod(F.xxhash64("event_id"), F.lit(LIVE_DELAY_US))
+    arrived = scored.withColumn("_at", F.col("ts_us") + jitter)
+    edges = [None, *arrived.approxQuantile("_at", [k / LIVE_BATCHES for k in range(1, LIVE_BATCHES)], 0.001), None]
+    out = []
+    for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        part = arrived if lo is None else arrived.filter(F.col("_at") >= lo)
+        part = part if hi is None else part.filter(F.col("_at") < hi)
+        rows = part.select(message)
+        broken = part.filter("event_id % 50 = 0").select(F.concat(F.lit('{"event_id": "'), F.col("event_id")).alias("value"))
+        rows = rows.union(broken)
+        if k == LIVE_BATCHES - 1:
+            rows = rows.union(scored.filter("event_id % 97 = 0").withColumn("ts_us", F.lit(1).cast("long")).select(message))
+        out.append(rows.orderBy(F.xxhash64("value")))
+    return out
+
+
+def live_run(spark, folder):
+    """The live path over shuffled arrivals, stopped and started again after three of the batches."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key in _live:
+        return _live[key]
+    scored = scored_detections(spark, folder)
+    arrivals, out, checkpoint = (scratch_folder(spark, n) for n in ("arrivals", "live", "progress"))
+    path = LivePath(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scored.schema), lambda df: df, out,
+                    views.subscribers(spark, folder), ["event_id"], LIVE_DELAY_US, EVENT_TTL_US)
+    stream = lambda: spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).parquet(arrivals)
+    for k, rows in enumerate(live_arrivals(scored)):
+        rows.coalesce(1).write.mode("append").parquet(arrivals)
+        if k == 2:
+            path.run(stream(), checkpoint)
+    path.run(stream(), checkpoint)
+    path.finish(spark)
+    _live[key] = path
+    return path
+
+
+@query("client_id bigint, alerts bigint, lowest float", _DELIVERED)
+def live_deliveries(spark, folder):
+    """What subscribers get from the live path equals what one batch job would send them."""
+    return live_run(spark, folder).table(spark, "delivered").groupBy("client_id").agg(
+        F.count("*").alias("alerts"), F.min("attack_prob").alias("lowest"))
+
+
+@query("batches bigint, rejects bigint, late bigint, scored bigint, attacks bigint, alerts bigint", over_flagged(f"""
+select {LIVE_BATCHES + 1} batches, count(*) filter (event_id % 50 = 0) rejects, count(*) filter (event_id % 97 = 0) late,
+  count(*) scored, count(*) filter (label = 1) attacks, count(*) filter (alert) alerts from flagged"""))
+def live_totals(spark, folder):
+    """Rejects, late rows and flags of the live path; the messages of every batch are counted once."""
+    path = live_run(spark, folder)
+    done = path.table(spark, "progress").agg(
+        F.count("*").alias("batches"), F.sum("rejects").alias("rejects"), F.sum("late").alias("late"))
+    kept = path.table(spark, "scored").agg(
+        F.count("*").alias("scored"), F.count_if(F.col("label") == 1).alias("attacks"), F.count_if("alert").alias("alerts"))
+    return done.join(kept, F.lit(True))
+
+
 @query("window_start_us bigint, scored double6", over_flagged(_rate_sql("scored:true")))
 def stream_rates(spark, folder):
     scored = scored_detections(spark, folder).select("ts_us")
