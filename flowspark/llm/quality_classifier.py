@@ -13,9 +13,10 @@ All documents are scored, in one pass without a shuffle: weights have a fixed si
 
 Defined cases: a null or empty text has no words and is judged by its metadata and the models' constants; null
 metadata count as a value of their own; a null in a label row leaves the row out, and among label rows of one id the
-worst counts; ids repeated in the documents are scored one by one; ties in sampling are broken by id; without any
-labels of both kinds a ValueError is raised, except that an empty document table gives an empty result; texts of any
-length are read whole; columns named like a result are replaced.
+worst counts; ids repeated in the documents are scored one by one, and a labelled one is fitted on its smallest features;
+ties in sampling are broken by id; without labels of both kinds, in the part fitted on and in the part kept aside, there is
+nothing to learn from and all documents are kept, with a score of 1; an empty document table gives an empty result; texts
+of any length are read whole; columns named like a result are replaced.
 """
 
 from collections.abc import Iterator
@@ -176,20 +177,19 @@ def _weighed(rows: DataFrame, weights: dict[float, float]) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, meta: tuple[str, str, str], good: str = "quality",
         bad: str = "toxic") -> Models | None:
-    """Fit both views; None for an empty document table."""
+    """Fit both views; None where there are not labels of both kinds."""
     ship_package(docs.sparkSession)
     labelled, with_label = _sample(labels, docs, key, good, bad)
     wanted = stored(labelled, "sample")
     # At most FIT_ROWS ids, so they can be sent to every task.
     chosen = docs.join(F.broadcast(wanted.select("doc")), F.col(f"`{key}`").cast("long") == F.col("doc"), "left_semi")
-    numbered = _feature_rows(chosen, key, text, meta).dropDuplicates(["doc"]).join(F.broadcast(wanted), "doc")
+    one = _feature_rows(chosen, key, text, meta).groupBy("doc").agg(F.min(F.struct("words", "extra")).alias("f"))
+    numbered = one.select("doc", "f.*").join(F.broadcast(wanted), "doc")
     numbered = stored(numbered.coalesce(8), "sample")
     counts = {(r["label"], r["aside"]): r["n"]
               for r in numbered.groupBy("label", "aside").agg(F.count("*").alias("n")).collect()}
-    if not counts and docs.isEmpty():
-        return None
     if any(not counts.get((label, aside)) for label in (0.0, 1.0) for aside in (False, True)):
-        raise ValueError("labels of both kinds are needed")
+        return None
     train = numbered.where("not aside")
     views = {"text": _informative(train, "words", TEXT_BITS, counts[1.0, False], counts[0.0, False]),
              "meta": _informative(train, "extra", META_BITS, counts[1.0, False], counts[0.0, False])}
@@ -258,6 +258,9 @@ def score(docs: DataFrame, models: Models | None, text: str, meta: tuple[str, st
     base = docs.drop("p_text", "p_meta", "score", "kept")
     names, at = base.columns, [base.columns.index(c) for c in (text, *meta)]
     names = [n for n in names if keep is None or n in keep]
+    if models is None:
+        unknown = [F.lit(None).cast("double").alias(c) for c in ("p_text", "p_meta")]
+        return base.select(*[f"`{n}`" for n in names], *unknown, F.lit(1.0).alias("score"), F.lit(True).alias("kept"))
     held = [base.columns.index(n) for n in names]
     fields = ", ".join(f"`{n}` {base.schema[n].dataType.simpleString()}" for n in names)
     sent = spark.sparkContext.broadcast(models)

@@ -1,6 +1,7 @@
 import random
 
-import pytest
+import numpy as np
+from pyspark.sql import functions as F
 
 from flowspark.llm import quality_classifier as qc
 
@@ -40,8 +41,18 @@ def test_empty_and_unlabelled(spark):
     docs, labels = documents(spark, 60)
     assert qc.fit(docs.limit(0), labels, "doc_id", "text", META) is None
     assert qc.score(docs.limit(0), None, "text", META).count() == 0
-    with pytest.raises(ValueError):
-        qc.fit(docs, labels.limit(0), "doc_id", "text", META)
+    for few in (labels.limit(0), labels.withColumn("quality", F.lit(1)).withColumn("toxic", F.lit(0))):
+        models = qc.fit(docs, few, "doc_id", "text", META)
+        found = qc.score(docs, models, "text", META, keep=["doc_id"])
+        assert models is None and found.columns == ["doc_id", "p_text", "p_meta", "score", "kept"]
+        assert found.where("kept and score = 1 and p_text is null").count() == docs.count()
+
+
+def test_a_repeated_labelled_id_fits_alike(spark):
+    docs, labels = documents(spark, 300)
+    other = docs.limit(40).withColumn("text", F.lit("another text under the same id"))
+    models = [qc.fit(d, labels, "doc_id", "text", META) for d in (docs.union(other), other.union(docs.repartition(3)))]
+    assert np.allclose(models[0].text, models[1].text, atol=1e-6) and np.isclose(models[0].threshold, models[1].threshold)
 
 
 def test_features():
