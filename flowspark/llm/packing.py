@@ -35,8 +35,8 @@ from flowspark.llm.memory import alone, remembered
 from flowspark.session import ship_package
 
 CAPACITY, TOLERANCE = 4096, 0.005
-#: Bytes of a generation of remembered chunks, and the longest chunk that is remembered.
-MEMORY_BYTES, MEMORY_CHARS = 24_000_000, 64
+#: Bytes of a generation of remembered chunks (pieces have half of it), and the longest chunk that is remembered.
+MEMORY_BYTES, MEMORY_CHARS = 60_000_000, 64
 BATCH_PIECES = 20_000
 
 _MARKS = "!#$%&*+,-./:;<=>?@[]^_`{|}~\"()"  # without the apostrophe, which may begin a contraction
@@ -113,25 +113,25 @@ class _Memory(dict):
     Keys and answers count with the bytes that they and their entry take.
     """
 
-    def __init__(self, make, older: "_Memory | None" = None):
+    def __init__(self, make, limit: int, older: "_Memory | None" = None):
         super().__init__()
-        self.make, self.older, self.bytes = make, older, 0
+        self.make, self.limit, self.older, self.bytes = make, limit, older, 0
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key) if self.older is not None else None
         if value is None:
             value = self.make(key)
-        if len(key) <= MEMORY_CHARS and self.bytes < 2 * MEMORY_BYTES:
+        if len(key) <= MEMORY_CHARS and self.bytes < 2 * self.limit:
             self[key] = value
             self.bytes += getsizeof(key) + getsizeof(value) + 100
         return value
 
     def next(self) -> "_Memory":
         """This memory, or where it is full an empty one that has it as its older generation."""
-        if self.bytes < MEMORY_BYTES:
+        if self.bytes < self.limit:
             return self
         self.older = None
-        return _Memory(self.make, self)
+        return _Memory(self.make, self.limit, self)
 
 
 class ChunkTokens:
@@ -153,7 +153,7 @@ class ChunkTokens:
         self.added = regex.compile("|".join(added) or "(?!)").search
         self.find = regex.compile(split["pattern"]["Regex"]).findall
         self.tokenize = self.tokenizer.model.tokenize
-        self.chunks, self.pieces = _Memory(self.make), _Memory(self.piece)
+        self.chunks, self.pieces = _Memory(self.make, MEMORY_BYTES), _Memory(self.piece, MEMORY_BYTES // 2)
 
     def piece(self, piece: str) -> bytes:
         """Ids of what the vocabulary's pattern cuts out of lower-case text."""
