@@ -53,12 +53,13 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @_query("""
-with e as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) v from embeddings
-  where vec_id is not null and embedding is not null and len(embedding) > 0
+with n as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) v, row_number() over () n
+  from embeddings where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) score
-  from e q join e c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
-r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank from s)
+e as (select vec_id, n, list_resize(v, (select greatest(max(len(v)), 1) from n), 0.0) v from n),
+s as (select q.n, q.vec_id query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) score
+  from e q join e c on q.vec_id % 20 = 0 and c.n <> q.n),
+r as (select *, cast(row_number() over (partition by n order by score desc, vec_id) as integer) rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20
 """)
 def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
