@@ -12,8 +12,7 @@ wants them.
 Defined cases: a null or empty text is one empty line; keys shorter than ``shortest`` code points are never dropped;
 a key repeated inside one document only is kept; rows that repeat a document id count as one document, each row
 losing the same lines; rows without an id own nothing and lose nothing; texts of any length are read whole; an empty
-table gives no bitmaps; other columns are left as they are, also when named like a helper here (those start with two
-underscores).
+table gives no bitmaps; other columns are left as they are, whatever their names.
 """
 
 import hashlib
@@ -161,10 +160,13 @@ def kept_lines(lines: list, bitmap: bytes | None) -> list:
 def dedup_lines(df: DataFrame, key: str, text: str, shortest: int = SHORTEST, digests: bool = False) -> DataFrame:
     """``df`` with ``text`` cut to its kept lines; with ``digests``, the key, line counts and a digest instead."""
     ship_package(df.sparkSession)
-    bitmaps = keep_bitmaps(df, key, text, shortest)
-    whole = df.select(*[f"`{c}`" for c in df.columns], *_identity(key, text))
-    joined = whole.join(bitmaps, ["__doc", "__row"], "left").select(*[f"`{c}`" for c in df.columns], "__bitmap")
     at, names = df.columns.index(text), df.columns
+    # By number, no column bears a helper's name.
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    key_, text_ = f"c{names.index(key)}", f"c{at}"
+    bitmaps = keep_bitmaps(plain, key_, text_, shortest)
+    whole = plain.select("*", *_identity(key_, text_))
+    joined = whole.join(bitmaps, ["__doc", "__row"], "left").select(*plain.columns, "__bitmap")
     kind = df.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

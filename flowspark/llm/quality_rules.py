@@ -13,6 +13,8 @@ compared by a 64-bit hash within one document.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.llm.tables import free_name
+
 # ASCII white space as the contract has it, and the characters counted as symbols.
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -27,20 +29,21 @@ def _measured(text: Column, df: DataFrame) -> DataFrame:
     stripped = whole
     for symbol in SYMBOLS:
         stripped = F.replace(stripped, F.lit(symbol), F.lit(""))
+    words, lines, windows = (free_name(df, name) for name in ("__words", "__lines", "__windows"))
     return (
-        df.withColumn("__words", F.array_remove(F.split(whole, SPACE + "+"), ""))
-        .withColumn("__lines", F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-        .withColumn("n_words", F.size("__words").cast("long"))
-        .withColumn("__windows", _windows("__words"))
+        df.withColumn(words, F.array_remove(F.split(whole, SPACE + "+"), ""))
+        .withColumn(lines, F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+        .withColumn("n_words", F.size(words).cast("long"))
+        .withColumn(windows, _windows(words))
         .withColumns({
-            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
+            "word_chars": F.length(F.array_join(words, "")).cast("long"),
             "n_symbols": (F.length(whole) - F.length(stripped)).cast("long"),
-            "n_lines": F.size("__lines").cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": _covered("__windows"),
+            "n_lines": F.size(lines).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            "n_repeat_words": _covered(windows),
             "n_upper_words": _upper_words(whole),
         })
-        .drop("__words", "__lines", "__windows")
+        .drop(words, lines, windows)
     )
 
 
@@ -117,7 +120,7 @@ CURRENT = "v2"
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the measurements and ``fail_bits``: bit i is set when rule i fails."""
-    measured = _measured(F.col(f"`{text}`"), df.drop(*MEASURES, "fail_bits", "__words", "__lines", "__windows"))
+    measured = _measured(F.col(f"`{text}`"), df.drop(*MEASURES, "fail_bits"))
     bits = F.lit(0).cast("long")
     for name, failed in rules().items():
         bits = bits.bitwiseOR(F.when(failed, F.lit(1 << BITS[name]).cast("long")).otherwise(F.lit(0).cast("long")))

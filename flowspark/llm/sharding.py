@@ -9,12 +9,14 @@ running sums of counts. No task ever holds a whole shard.
 
 Defined cases: a null key hashes as the text ``null``; a null text counts 0 bytes; rows that repeat a key share its
 shard and get slots of their own, in no particular order; an empty table gives an empty result. Input columns named
-like a result column are replaced.
+like a result column are replaced, all others pass through, whatever their names.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowspark.llm.tables import free_name
+
 SHARDS = 16
 BUCKETS = 1024
 _FRACTION = float(1 << 52)
@@ -53,18 +55,19 @@ def with_slots(df: DataFrame, key: str, spread: list[str], buckets: int = BUCKET
     """
     name = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null"))
     parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")) for c in spread]
-    bucket = F.pmod(_hash52(name, *parts).cast("long"), F.lit(buckets)).cast("int")
-    rows = df.drop("slot", "__bucket").withColumn("__bucket", bucket)
-    sums = rows.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bucket, at, ahead, n = (free_name(df, x) for x in ("__bucket", "__at", "__before", "__n"))
+    hashed = F.pmod(_hash52(name, *parts).cast("long"), F.lit(buckets)).cast("int")
+    rows = df.drop("slot").withColumn(bucket, hashed)
+    sums = rows.groupBy("shard", bucket).agg(F.count("*").alias(n))
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     # At most shards x buckets rows, whatever the input.
-    offsets = sums.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("shard", "__bucket").orderBy(F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in spread])
-    numbered = rows.withColumn("__at", F.row_number().over(inside))
+    offsets = sums.select("shard", bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(ahead))
+    inside = Window.partitionBy("shard", bucket).orderBy(F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in spread])
+    numbered = rows.withColumn(at, F.row_number().over(inside))
     return (
-        numbered.join(offsets, ["shard", "__bucket"])
-        .withColumn("slot", F.col("__before") + F.col("__at") - 1)
-        .drop("__bucket", "__before", "__at")
+        numbered.join(offsets, ["shard", bucket])
+        .withColumn("slot", F.col(ahead) + F.col(at) - 1)
+        .drop(bucket, ahead, at)
     )
 
 

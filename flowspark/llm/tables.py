@@ -22,6 +22,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores appended until no column of ``df`` bears it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sized(df: DataFrame) -> DataFrame:
     """A stored table with a broadcast hint if its counted rows allow it; the join gives the same rows without."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

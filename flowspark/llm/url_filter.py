@@ -14,7 +14,8 @@ size, spread over salts beyond), and one aggregate per row whose map side alread
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no scope rule, and is allowed by
 default; very long URLs are handled whole; repeated rows are judged one by one; among rules of equal length the
 smaller rule text wins; an empty table gives an empty result. Other columns of the table are not carried along
-unless named in ``keep``; those may not be called rule, host, path or verdict.
+unless named in ``keep``, whatever their names; of those called like a result column (host, path, rule, verdict) only
+the result's stands.
 """
 
 import re
@@ -130,10 +131,11 @@ def judge(urls: DataFrame, url: str, keep: list[str], rules: list[Rule] | None =
     """``keep`` columns, host, path, the scope rule that fits (else null) and the verdict, for every row."""
     rules = SCOPE_RULES + PATTERN_RULES if rules is None else rules
     host, path = host_and_path(F.col(f"`{url}`"))
+    kept = {f"__kept_{i}": c for i, c in enumerate(keep) if c.lower() not in ("host", "path", "rule", "verdict")}
     # The row number joins a row's candidates again; scans number their rows alike whenever they are repeated.
     base = urls.select(
         F.monotonically_increasing_id().alias("__row"), F.col(f"`{url}`").alias("__url"),
-        *[F.col(f"`{c}`") for c in keep], host.alias("host"), path.alias("path"),
+        *[F.col(f"`{c}`").alias(name) for name, c in kept.items()], host.alias("host"), path.alias("path"),
     ).withColumn("__text", F.concat("host", F.lit(_SEPARATOR), "path"))
     tokens = base.withColumn("token", F.explode_outer(_tokens(F.col("__url"))))
     index = rule_index(urls, url, rules)
@@ -147,12 +149,12 @@ def judge(urls: DataFrame, url: str, keep: list[str], rules: list[Rule] | None =
     fits = F.col("name").isNotNull() & F.rlike(subject, F.col("pattern"))
     ranked = F.struct(F.col("length"), (-F.col("name_no")).alias("no"), F.col("name"), F.col("verdict"))
     best = found.groupBy("__row").agg(
-        *[F.first(F.col(f"`{c}`")).alias(c) for c in keep], F.first("host").alias("host"), F.first("path").alias("path"),
+        *[F.first(name).alias(name) for name in kept], F.first("host").alias("host"), F.first("path").alias("path"),
         F.max(F.when(fits & F.col("scope"), ranked)).alias("__scope"),
         F.max(F.when(fits & ~F.col("scope"), F.col("verdict") == "allow").cast("int")).alias("__allow"),
     )
     by_pattern = F.when(F.col("__allow") == 0, F.lit("block")).otherwise(F.lit("allow"))
     return best.select(
-        *[F.col(f"`{c}`") for c in keep], "host", "path", F.col("__scope")["name"].alias("rule"),
+        *[F.col(name).alias(c) for name, c in kept.items()], "host", "path", F.col("__scope")["name"].alias("rule"),
         F.coalesce(F.col("__scope")["verdict"], by_pattern).alias("verdict"),
     )

@@ -54,6 +54,14 @@ def test_empty(spark):
     assert line_dedup.dedup_lines(df, "doc_id", "text", digests=True).count() == 0
 
 
+def test_columns_named_like_helpers(spark):
+    rows = [(1, "a common line here", 5, "x", "y"), (2, "a common line here\nown", 6, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __doc int, __bitmap string, __ROW string")
+    found = line_dedup.dedup_lines(df, "doc_id", "text")
+    assert found.columns == df.columns
+    assert sorted(tuple(r) for r in found.collect()) == [rows[0], (2, "own", *rows[1][2:])]
+
+
 def test_bitmap_keeps_lines_past_its_end():
     bitmap = line_dedup.pack_bits(np.array([1, 9]))
     assert line_dedup.kept_lines(list(range(30)), bitmap) == [i for i in range(30) if i not in (1, 9)]

@@ -106,3 +106,16 @@ def test_weights(spark):
     assert more.where("s = 1 and t = 0").count() == 0  # more weight only draws records in
     with pytest.raises(ValueError):
         sharding.rendezvous(F.col("id"), [1.0, 0.0])
+
+
+def test_columns_named_like_helpers(spark):
+    df = spark.createDataFrame([(1, "a b c", "x", "y", "z")], "doc_id long, text string, __words string, __LINES string, __bucket string")
+    row = quality_rules.ledger(df).first()
+    assert (row["__words"], row["__LINES"], row.n_words) == ("x", "y", 3)
+    slots = sharding.with_slots(sharding.assign(df, "doc_id", [1.0, 2.0]), "doc_id", ["text"]).first()
+    assert (slots["__words"], slots["__bucket"], slots.slot) == ("x", "z", 0)
+    names = ["page_id", "name", "pattern", "length", "scope", "rule_no", "name_no", "tokens", "token", "__row", "__text", "__url"]
+    pages = spark.createDataFrame([(*range(len(names)), "kept?", "http://a.net/x")], [*names, "host", "url"])
+    found = url_filter.judge(pages, "url", [*names, "host", "url"]).collect()
+    assert [r.asDict() for r in found] == [
+        dict(zip(names, range(len(names)))) | {"url": "http://a.net/x", "host": "a.net", "path": "/x", "rule": "net/", "verdict": "block"}]
