@@ -98,6 +98,27 @@ def exact_percentiles(spark, folder):
     return O.exact_percentiles(scored_detections(spark, folder), "latency_us", {"p50": 0.5, "p99": 0.99})
 
 
+HOUR_US = 3_600_000_000
+SHARES = {"p50": 0.5, "p99": 0.99, "max": 1.0}
+
+
+@query("hour bigint, n bigint, max bigint, p50_near boolean, p99_near boolean", over_flagged(f"""
+select ts_us // {HOUR_US} "hour", count(*) n, max(latency_us) as "max", true p50_near, true p99_near from flagged group by 1
+union all select null, count(*), max(latency_us), true, true from flagged"""))
+def sketched_percentiles(spark, folder):
+    """Sketches per hour and, merged from them, of all hours; each estimate held against its exact place among all rows."""
+    rows = scored_detections(spark, folder).select(F.expr(f"ts_us div {HOUR_US}").alias("hour"), "latency_us")
+    hours = O.latency_sketches(rows, ["hour"], "latency_us")
+    answers = []
+    for groups, sketches in ((["hour"], hours), ([], O.merge_sketches(hours, []))):
+        found = O.sketched_percentiles(sketches, SHARES)
+        off = O.rank_distances(rows, groups, "latency_us", found, SHARES)
+        near = [(F.col(f"{s}_off") <= O.rank_error(O.SKETCH_SIZE) * F.col("n") + 1).alias(f"{s}_near") for s in ("p50", "p99")]
+        hour = F.col("hour") if groups else F.lit(None).cast("bigint").alias("hour")
+        answers.append(off.select(hour, "n", "max", *near))
+    return answers[0].unionByName(answers[1])
+
+
 @query("rows bigint, used bigint", over_flows("select count(*) as \"rows\", least(8, count(distinct srcip)) used from flows"))
 def partition_spread(spark, folder):
     """Summarised: every row lands on one of the partitions, and enough keys reach all of them."""
