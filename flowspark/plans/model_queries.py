@@ -6,7 +6,7 @@ permuted and traced per round on the fifth. As in the study only the boosted tre
 models have no class weight. Fitting has no SQL form.
 """
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from flowspark.contracts import MODEL_COLUMNS
@@ -99,6 +99,26 @@ for _kind, _name in (("boost", "boosted_trees"), ("forest", "random_forest"), ("
 _LABELS = "(select case when starts_with(srcip, '175.45.176.') then 1.0 else 0.0 end as \"label\" from flows) l"
 
 
+def _judged(kind):
+    def build(spark, folder):
+        """The rows that the model was not fitted on all have a probability, and attacks rank above the rest."""
+        scored = scores(kind, spark, folder)
+        counted = scored.agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("attacks"),
+                             F.bool_and(F.col("prob").between(0, 1)).alias("in_range"))
+        ranked = E.ranking_metrics(scored).select((F.col("roc_auc") > 0.5).alias("above_chance"))
+        return counted.join(ranked, F.lit(True)).select(F.lit(kind).alias("model"), "*")
+
+    return build
+
+
+for _kind, _name in (("boost", "boosted_trees"), ("forest", "random_forest"), ("linear", "logistic_regression"),
+                     ("net", "neural_net")):
+    query("model string, n bigint, attacks bigint, in_range boolean, above_chance boolean", over_flows(f"""
+select '{_kind}' model, sum((n + {PARTS - 1}) // {PARTS})::bigint n, sum(case when "label" = 1 then (n + {PARTS - 1}) // {PARTS} else 0 end)::bigint attacks,
+  true in_range, true above_chance
+from (select "label", count(*) n from {_LABELS} group by 1) c"""), f"{_name}_judged")(_judged(_kind))
+
+
 @query("label double, weight double6, n bigint", over_flows(f"""
 select "label", sum(n) over () / cast(2 * n as double) weight, n
 from (select "label", count(*) n from {_LABELS} group by 1) c"""))
@@ -210,6 +230,37 @@ def permutation_importance(spark, folder):
     return X.permutation_importance(test_rows(spark, folder), fitted("linear", spark, folder), INPUTS, REPEATS)
 
 
+@query("feature string, importance double6, deviation double6", None)
+def neural_net_permutation(spark, folder):
+    return X.permutation_importance(test_rows(spark, folder), fitted("net", spark, folder), INPUTS, REPEATS)
+
+
+@query("features int, within boolean, ordered boolean, unused boolean",
+       f"select {len(INPUTS)} as features, true as \"within\", true as ordered, true as unused")
+def permutation_conditions(spark, folder):
+    """Every input has a loss of at most all rows, largest first, and none where the coefficient is zero."""
+    model = fitted("linear", spark, folder)
+    silent = [n for n, w in zip(INPUTS, model.coefficients.toArray()) if w == 0]
+    ranked = X.permutation_importance(test_rows(spark, folder), model, INPUTS, REPEATS)
+    values = F.collect_list("importance")
+    nothing = (F.col("importance") == 0) & (F.col("deviation") == 0)
+    return ranked.agg(
+        F.countDistinct("feature").cast("int").alias("features"),
+        F.bool_and(F.col("importance").between(-1, 1) & (F.col("deviation") <= 1)).alias("within"),
+        (values == F.sort_array(values, asc=False)).alias("ordered"),
+        F.coalesce(F.bool_and(F.when(F.col("feature").isin(silent), nothing)), F.lit(True)).alias("unused"))
+
+
+@query("largest_gap double6, n bigint", over_flows("select 0.0 largest_gap, count(*) n from flows"))
+def linear_contributions_add_up(spark, folder):
+    """A row's contributions and the margin of the mean row add up to the model's own margin."""
+    model, df = fitted("linear", spark, folder), training_table(spark, folder)
+    summed = X.linear_margins(df, model, len(INPUTS))
+    own = vector_to_array(model.getRawPredictionCol())[1]
+    gap = F.abs(own - F.col("total")) / F.greatest(F.lit(1.0), F.abs(own))
+    return model.transform(summed).agg(F.round(F.max(gap), 6).alias("largest_gap"), F.count("*").alias("n"))
+
+
 @query("feature string, mean_abs double6", None)
 def linear_contributions(spark, folder):
     return X.linear_contributions(training_table(spark, folder), fitted("linear", spark, folder), INPUTS)
