@@ -32,8 +32,14 @@ def test_searches_are_whole(spark, data):
 
 
 def test_permutations_are_whole(spark, data, monkeypatch):
-    asked = []
-    monkeypatch.setattr(X, "permutation_importance", lambda df, model, names, repeats=10: asked.append(repeats))
-    monkeypatch.setattr(Q, "fitted", lambda *_: None)
-    Q.permutation_importance(spark, data)
-    assert asked == [10]
+    """All inputs, all rows that are judged, ten repeats; a model of fewer iterations stands in for the fitted one."""
+    train, rows = Q.train_rows(spark, data), Q.test_rows(spark, data)
+    model = M.logistic(M.total_weight(train), {"C": 1.0, "penalty": "l2", "max_iter": 15}).fit(train)
+    monkeypatch.setattr(Q, "fitted", lambda *_: model)
+    paired, asked = X._paired_rows, []
+    monkeypatch.setattr(X, "_paired_rows", lambda df, used, repeats, *more: asked.append((df.count(), repeats)) or paired(
+        df, used, repeats, *more))
+    ranked = Q.permutation_importance(spark, data).collect()
+    assert asked == [(rows.count(), 10)]
+    assert {r["feature"] for r in ranked} == set(Q.INPUTS) and len(ranked) == len(Q.INPUTS)
+    assert ranked[0]["importance"] > 0 and all(r["deviation"] >= 0 for r in ranked)
