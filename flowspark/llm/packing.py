@@ -19,10 +19,10 @@ sequence per class, so its memory does not grow with the input.
 
 import hashlib
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +35,13 @@ from flowspark.llm.memory import alone, remembered
 from flowspark.session import ship_package
 
 CAPACITY, TOLERANCE = 4096, 0.005
-#: Bytes of a generation of remembered chunks (pieces have half of it), and the longest chunk that is remembered.
-MEMORY_BYTES, MEMORY_CHARS = 60_000_000, 64
+#: Bytes of a generation of remembered chunks (those for the whole tokenizer have half of it), what an entry takes
+#: beside its characters and ids, and the longest chunk that is remembered.
+MEMORY_BYTES, ENTRY_BYTES, MEMORY_CHARS = 60_000_000, 190, 64
 BATCH_PIECES = 20_000
 
 _MARKS = "!#$%&*+,-./:;<=>?@[]^_`{|}~\"()"  # without the apostrophe, which may begin a contraction
-_LATIN = regex.compile(r"[!-~\u00a1-\u024f]*").fullmatch
+_STRANGE = re.compile(r"[^\n -~\u00a1-\u024f]").search
 #: The letter that stands for each byte in byte-level vocabularies: itself where it is printable, else from U+0100 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_LETTERS = [chr(b if b in _PRINTABLE else 0x100 + sum(c not in _PRINTABLE for c in range(b))) for b in range(256)]
@@ -113,24 +114,24 @@ class _Memory(dict):
     Keys and answers count with the bytes that they and their entry take.
     """
 
-    def __init__(self, make, limit: int, older: "_Memory | None" = None):
+    def __init__(self, make, limit: int, older: "dict | None" = None):
         super().__init__()
-        self.make, self.limit, self.older, self.bytes = make, limit, older, 0
+        self.make, self.limit, self.older, self.bytes = make, limit, older or {}, 0
 
     def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key) if self.older is not None else None
+        value = self.older.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= MEMORY_CHARS and self.bytes < 2 * self.limit:
             self[key] = value
-            self.bytes += getsizeof(key) + getsizeof(value) + 100
+            self.bytes += 2 * len(key) + len(value) + ENTRY_BYTES
         return value
 
     def next(self) -> "_Memory":
         """This memory, or where it is full an empty one that has it as its older generation."""
         if self.bytes < self.limit:
             return self
-        self.older = None
+        self.older = {}
         return _Memory(self.make, self.limit, self)
 
 
@@ -138,8 +139,9 @@ class ChunkTokens:
     """Ids (as little-endian bytes) of the stretches between spaces and line ends, kept in bounded memories.
 
     The vocabulary's words end at white space, so a text's ids are those of its stretches one after the other. In
-    stretches of printable Latin characters, where normalising is lower-casing, the pattern's pieces are looked up one
-    by one; all others, and those with one of the vocabulary's added tokens, go through the whole tokenizer.
+    printable Latin text normalising is lower-casing, so it is lower-cased as a whole, and each of its stretches is
+    one of the pattern's pieces or several, which are looked up in the same memory. Texts with other characters, or with
+    one of the vocabulary's added tokens, go stretch by stretch; the stretches concerned go through the whole tokenizer.
     """
 
     def __init__(self, description: str):
@@ -149,29 +151,42 @@ class ChunkTokens:
         split = wanted["pre_tokenizer"]["pretokenizers"][0]
         if normal != ["NFC", "Replace", "Lowercase"] or not split["invert"]:
             raise ValueError("a tokenizer that lower-cases and keeps a pattern's matches is needed")
-        added = [regex.escape(t["content"].lower()) for t in wanted["added_tokens"]]
-        self.added = regex.compile("|".join(added) or "(?!)").search
+        self.added = [t["content"].lower() for t in wanted["added_tokens"]]
         self.find = regex.compile(split["pattern"]["Regex"]).findall
         self.tokenize = self.tokenizer.model.tokenize
-        self.chunks, self.pieces = _Memory(self.make, MEMORY_BYTES), _Memory(self.piece, MEMORY_BYTES // 2)
+        self.chunks, self.others = _Memory(self.make, MEMORY_BYTES), _Memory(self.whole, MEMORY_BYTES // 2)
 
     def piece(self, piece: str) -> bytes:
         """Ids of what the vocabulary's pattern cuts out of lower-case text."""
         word = piece if piece.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, piece.encode()))
         return array("I", [t.id for t in self.tokenize(word)]).tobytes()
 
-    def make(self, chunk: str) -> bytes:
-        low = chunk.lower()
-        if not _LATIN(chunk) or self.added(low):
-            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+    def make(self, low: str) -> bytes:
+        """Ids of a stretch of lower-case Latin characters."""
         word = low.rstrip(_MARKS)
         if word.isalpha():  # letters and then marks are two pieces
-            return self.pieces[word] + self.pieces[low[len(word):]] if len(word) < len(low) else self.pieces[word]
-        return b"".join(map(self.pieces.__getitem__, self.find(low)))
+            return self.chunks[word] + self.chunks[low[len(word):]] if len(word) < len(low) else self.piece(low)
+        pieces = self.find(low)
+        return self.piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.chunks.__getitem__, pieces))
+
+    def whole(self, chunk: str) -> bytes:
+        """Ids of any stretch."""
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def has_added(self, low: str) -> bool:
+        return any(map(low.__contains__, self.added))
+
+    def of_chunk(self, chunk: str) -> bytes:
+        low = chunk.lower()
+        return self.others[chunk] if _STRANGE(chunk) or self.has_added(low) else self.chunks[low]
 
     def encode(self, text: str, closing: int) -> np.ndarray:
-        self.chunks, self.pieces = self.chunks.next(), self.pieces.next()
-        found = b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        self.chunks, self.others = self.chunks.next(), self.others.next()
+        low = text.lower()
+        if _STRANGE(text) or self.has_added(low):
+            found = b"".join(map(self.of_chunk, text.replace("\n", " ").split(" ")))
+        else:
+            found = b"".join(map(self.chunks.__getitem__, low.split()))
         return np.frombuffer(found + closing.to_bytes(4, "little"), np.uint32)
 
 

@@ -45,6 +45,18 @@ def test_memory_forgets_without_changing_answers(monkeypatch):
         assert len(chunks.chunks) < 9 and "one" * 40 not in chunks.chunks and chunks.chunks.bytes < 1700
 
 
+def test_capitals_and_marks_share_answers(monkeypatch):
+    with open(PATH, encoding="utf-8") as file:
+        chunks = packing.ChunkTokens(file.read())
+    asked = []
+    monkeypatch.setattr(chunks, "tokenize", lambda word, whole=chunks.tokenize: asked.append(word) or whole(word))
+    text = "Zorblat ZORBLAT, zorblat. (zorblat) Zorblat,\nzorblat's\n Éa éa"
+    want = [*Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, 2]
+    assert chunks.encode(text, 2).tolist() == want
+    assert len(asked) == len(set(asked)) and {"zorblat", ",", ".", "(", ")", "'s"} <= set(asked)
+    assert {"zorblat", "zorblat,", "éa"} <= set(chunks.chunks) and not {"Zorblat", "ZORBLAT,", "Éa"} & set(chunks.chunks)
+
+
 def test_rows(spark):
     rows = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (4, "long words " * 9000), (None, "no id")]
     rows += [(10 + i, "some words of text " * (i % 40)) for i in range(200)]
