@@ -308,14 +308,16 @@ def opened_groups(buckets: DataFrame, groups: DataFrame, percent: int) -> tuple[
 
 
 def links_in_groups(texts: DataFrame, opened: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): for every document of an opened pair of groups, a link to each other component that it has there."""
+    """(a, b): for every document of an opened pair of groups, a link to each other component that it has there.
+
+    Sets are large, so they are dealt out once to their group, and then once more to each group that is to be asked.
+    """
     wanted = opened.select("g").union(opened.select("h")).distinct()
-    inside = stored(members.join(wanted, "g", "left_semi"), "inside")
-    docs = sized(stored(inside.select(F.col("doc").alias("b")).distinct(), "wanted"))
-    sets = texts.join(docs, F.col("doc") == F.col("b")).select("doc", "text").mapInArrow(
-        _sets("set", size), "doc bigint, set binary").distinct()
-    whole = stored(inside.join(sets, "doc").groupBy("g").agg(
-        F.collect_list(F.struct("doc", "component", "set")).alias("held")), "groups")
+    inside = sized(stored(members.join(wanted, "g", "left_semi").distinct(), "inside"))
+    sets = texts.join(inside, "doc").select("g", "doc", "component", "text").mapInArrow(
+        _sets("set", size), "g bigint, doc bigint, component bigint, set binary")
+    # Rows that repeat an id and a text are one member; tasks leave them out before they send.
+    whole = stored(sets.groupBy("g").agg(F.collect_set(F.struct("doc", "component", "set")).alias("held")), "groups")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,9 +326,10 @@ def links_in_groups(texts: DataFrame, opened: DataFrame, members: DataFrame, siz
             a, b = (np.concatenate([np.empty(0, np.int64), *side]) for side in ([f[0] for f in found], [f[1] for f in found]))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    asking = opened.join(whole.withColumnRenamed("held", "asking"), "g").select("h", "asking")
-    asked = whole.select(F.col("g").alias("h"), F.col("held").alias("asked"))
-    return asking.join(asked, "h").select("asking", "asked").mapInArrow(run, "a bigint, b bigint").distinct()
+    # Both sides read the same columns by g, so that where the pairs are too many to broadcast one exchange serves both.
+    asking = whole.join(sized(opened), "g").select("h", F.col("held").alias("asking"))
+    met = asking.join(whole, F.col("h") == F.col("g")).select("asking", F.col("held").alias("asked"))
+    return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:

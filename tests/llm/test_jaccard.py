@@ -99,6 +99,20 @@ def test_many_copies_and_frequent_tokens(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_sets_are_dealt_out_once_to_their_group(spark, monkeypatch):
+    plans, stored = [], jaccard.stored
+
+    def explained(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return stored(df, name)
+
+    monkeypatch.setattr(jaccard, "stored", explained)
+    rows = families(5, 120)
+    check(spark, rows + rows[:40])  # repeated rows are still one member of their group
+    plan, = (plan for name, plan in plans if name == "groups" and "MapInArrow" in plan)
+    assert len(re.findall(r"(?<!Broadcast)Exchange hashpartitioning", plan)) == 1
+
+
 def test_empty(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
