@@ -154,3 +154,14 @@ def test_conservation(spark, seed):
     assert flows.agg(F.sum(F.col("spkts") + F.col("dpkts"))).first()[0] == accepted
     per_flow = labelled.groupBy("flow_seq").agg(F.count_if("closes").alias("n")).agg(F.max("n")).first()[0]
     assert per_flow <= 1
+
+
+def test_small_limits_do_not_make_a_stretch_of_every_few_packets(spark):
+    """Stretches are tasks and states on the driver, so their number follows the cores once there are enough."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = [p for k in range(20 * cores) for p in random_packets(12, "bulk", k)]
+    df = table(spark, [[f"c{i // 12}", *r[1:]] for i, r in enumerate(rows)])
+    placed = H.stretches(S.keyed_packets(df), S.SORT_KEYS, 4)
+    assert placed.select("_stretch").distinct().count() <= 4 * cores
+    shown_rows = lambda f: sorted(map(str, f.collect()))
+    assert shown_rows(S.segment_packets(df, hot_rows=4)) == shown_rows(S.segment_packets(df, hot_rows=None))
