@@ -34,6 +34,7 @@ SECTION, INTERFACE, SIMPLE_PACKET, ENHANCED_PACKET = 0x0A0D0D0A, 1, 3, 6
 FILE_HEADER, RECORD_HEADER = 24, 16
 LARGEST_RECORD = 262_144
 SPLIT_BYTES = 256 << 20
+CHAIN_BYTES = 16 << 20
 BATCH_FRAMES, READ_BYTES = 20_000, 4 << 20
 CAPTURE_SCHEMA = T.StructType([*FRAME_SCHEMA, T.StructField("problem", T.StringType())])
 
@@ -263,55 +264,85 @@ def chain_exits(data: bytes, begin: int, end: int, order: str, at_end_of_file: b
     return {begin + s: begin + e for s, e in left.items() if e >= 0 and s < reach}
 
 
-def split_points(spark: SparkSession, files: list[tuple[str, int]], split_bytes: int = SPLIT_BYTES) -> list[list]:
-    """[path, begin, end] ranges that start and end at record starts; files up to ``split_bytes`` stay whole.
+def chain_points(data: bytes, begin: int, end: int, order: str, at_end_of_file: bool, start: int,
+                 step: int) -> tuple[list[int], int | None]:
+    """The first record of the chain from ``start`` in every ``step`` bytes of a range, and where it leaves the range.
 
-    The chains come back as a few pairs per range; only they pass through the driver.
+    A chain that breaks leaves nowhere; its last point is where its last stretch begins.
     """
-    whole = [[p, FILE_HEADER, size] for p, size in files if size <= split_bytes]
-    large = [(p, size, b, min(b + split_bytes, size)) for p, size in files if size > split_bytes
-             for b in range(FILE_HEADER, size, split_bytes)]
-    if not large:
-        return whole
+    header, span, at, points, beyond = struct.Struct(order + "I"), end - begin, start - begin, [], 0
+    while at < span:
+        if at >= beyond:
+            points.append(begin + at)
+            beyond = (at // step + 1) * step
+        if at + RECORD_HEADER > len(data):
+            return points, end if at_end_of_file else None
+        caplen = header.unpack_from(data, at + 8)[0]
+        if caplen > LARGEST_RECORD:
+            return points, None
+        at += RECORD_HEADER + caplen
+    return points, begin + at
+
+
+def _on_ranges(spark: SparkSession, asked: list[tuple], schema: str, tell) -> list:
+    """What ``tell(data, begin, end, order, at_end_of_file, starts)`` gives for ranges (path, size, begin, end, starts),
+    after their path and begin. Files without such chains give nothing."""
     ship_package(spark)
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in schema.split(", ")]
         for pdf in batches:
-            for path, size, begin, end in pdf.itertuples(index=False):
+            for path, size, begin, end, starts in pdf.itertuples(index=False):
                 with _open(path) as source:
                     head = source.read(FILE_HEADER)
                     if head[:4] == PCAPNG_MAGIC or file_problem(head):
-                        yield pd.DataFrame({"path": [path], "begin": [begin], "entry": [-1], "leave": [-1]})
                         continue
                     source.seek(begin)
-                    exits = chain_exits(source.read(end - begin + RECORD_HEADER), begin, end,
-                                        PCAP_MAGICS[head[:4]][0], end == size)
-                yield pd.DataFrame({"path": path, "begin": begin, "entry": list(exits), "leave": list(exits.values())})
-
-    asked = spark.createDataFrame(large, "path string, size bigint, begin bigint, end bigint")
-    found = asked.repartition(len(large)).mapInPandas(
-        follow, "path string, begin bigint, entry bigint, leave bigint"
-    ).collect()
-    chains: dict[tuple, dict] = {}
-    for r in found:
-        chains.setdefault((r["path"], r["begin"]), {})[r["entry"]] = r["leave"]
-    ranges = list(whole)
+                    data = source.read(end - begin + RECORD_HEADER)
+                told = tell(data, begin, end, PCAP_MAGICS[head[:4]][0], end == size, [int(s) for s in starts])
+                yield pd.DataFrame([(path, begin, *row) for row in told], columns=["path", "begin", *names])
+
+    rows = spark.createDataFrame(asked, "path string, size bigint, begin bigint, end bigint, starts array<bigint>")
+    return rows.repartition(len(asked)).mapInPandas(follow, f"path string, begin bigint, {schema}").collect()
+
+
+def split_points(spark: SparkSession, files: list[tuple[str, int]], split_bytes: int = SPLIT_BYTES) -> list[list]:
+    """[path, begin, end] ranges that start and end at record starts; files up to ``split_bytes`` stay whole.
+
+    Chains are followed over parts of ``CHAIN_BYTES`` at least, at whose ends nearly all of them have joined or died. Only
+    the few places where they leave a part pass through the driver, and the split points on the chains from there.
+    """
+    ranges = [[p, FILE_HEADER, size] for p, size in files if size <= split_bytes]
+    part = split_bytes * -(-CHAIN_BYTES // split_bytes)
+    parts = {(p, b): (p, size, b, min(b + part, size)) for p, size in files if size > split_bytes
+             for b in range(FILE_HEADER, size, part)}
+    if not parts:
+        return ranges
+    starts = {key: {FILE_HEADER} if key[1] == FILE_HEADER else set() for key in parts}
+    open_ended = [(*p, []) for p in parts.values() if p[3] < p[1]]
+    leaves = lambda data, begin, end, order, last, _: {(x,) for x in chain_exits(data, begin, end, order, last).values()}
+    for r in _on_ranges(spark, open_ended, "leave bigint", leaves) if open_ended else []:
+        if r["leave"] < parts[(r["path"], r["begin"])][1]:
+            starts[(r["path"], FILE_HEADER + (r["leave"] - FILE_HEADER) // part * part)].add(r["leave"])
+    points = lambda data, begin, end, order, last, entries: [
+        (e, *chain_points(data, begin, end, order, last, e, split_bytes)) for e in entries]
+    asked = [(*p, sorted(starts[key])) for key, p in parts.items() if starts[key]]
+    chains = {(r["path"], r["begin"], r["entry"]): (r["points"], r["leave"]) for r in _on_ranges(
+        spark, asked, "entry bigint, points array<bigint>, leave bigint", points)}
     for path, size in files:
         if size <= split_bytes:
             continue
-        at, begins = FILE_HEADER, range(FILE_HEADER, size, split_bytes)
-        if -1 in chains[(path, FILE_HEADER)]:
-            ranges.append([path, FILE_HEADER, size])
+        at = FILE_HEADER
+        if (path, at, at) not in chains:  # no chains in such a file
+            ranges.append([path, at, size])
             continue
-        for begin in begins:
-            end = min(begin + split_bytes, size)
-            if at >= end:
+        for begin in range(FILE_HEADER, size, part):
+            if at >= min(begin + part, size):
                 continue
-            leave = chains[(path, begin)].get(at)
+            found, leave = chains[(path, begin, at)]
+            ranges += [[path, *ends] for ends in zip(found, [*found[1:], size if leave is None else leave])]
             if leave is None:  # the chain breaks in here: what is readable ends with this range
-                ranges.append([path, at, size])
                 break
-            ranges.append([path, at, leave])
             at = leave
     return ranges
 

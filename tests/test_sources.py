@@ -185,3 +185,29 @@ def test_threshold_contract(spark, tmp_path):
     sinks.write_contract(spark, str(tmp_path / "c"), 0.42)
     assert sinks.read_threshold(spark, str(tmp_path / "c")) == 0.42
     assert sinks.read_threshold(spark) == 0.69 and sinks.read_threshold(spark, None, 0.5) == 0.5
+
+
+def test_only_places_where_chains_join_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    """Small records leave thousands of possible starts in a range; a few numbers per range are told of them."""
+    from flowspark.sources import captures
+
+    frames = [(i, 0, ethernet(ip(6, tcp(seq=i), 40))) for i in range(40_000)]
+    (tmp_path / "small.pcap").write_bytes(pcap(frames))
+    (tmp_path / "next.pcapng").write_bytes(pcapng([(i, frames[i][2]) for i in range(2_000)]))
+    (tmp_path / "noise.pcap").write_bytes(b"x" * 130_000)
+    told = []
+
+    def on_ranges(*args):
+        told.append(inner(*args))
+        return told[-1]
+
+    inner = captures._on_ranges
+    monkeypatch.setattr(captures, "_on_ranges", on_ranges)
+    monkeypatch.setattr(captures, "CHAIN_BYTES", 1 << 20)
+    files = list_captures(str(tmp_path))
+    ranges = split_points(spark, files, 100_000)
+    assert len(ranges) > 15 and len(told) == 2 and max(map(len, told)) <= 100
+    mine = [r for r in ranges if r[0].endswith("small.pcap")]
+    assert mine[0][1] == 24 and all(a[2] == b[1] for a, b in zip(mine, mine[1:])) and mine[-1][2] == dict(files)[mine[0][0]]
+    assert len([r for r in ranges if not r[0].endswith("small.pcap")]) == 2
+    assert sorted(r["tcp_seq"] for r in read_packets(spark, str(tmp_path), 100_000).filter("capture_id = 'small.pcap'").collect()) == list(range(40_000))
